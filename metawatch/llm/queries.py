@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, quality, sharding, warc
+from . import classifier, fingerprints, langid, packing, quality, sharding, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("record", F.col("record").cast("string"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op9_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paragraphs that masking digits changes, found from the sketches of both versions."""
     masked = F.regexp_replace("text", "[0-9]+", "0")
@@ -39,7 +47,7 @@ def op9_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_histogram_sort, op2_best_fit_packing, op3_quality_divergence, op4_warc_archive, op9_iblt_fingerprints)
+    f.__name__: f for f in (op1_histogram_sort, op2_best_fit_packing, op3_quality_divergence, op4_warc_archive, op5_quality_classifier, op6_language_id, op9_iblt_fingerprints)
 }
 
 _WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
