@@ -60,7 +60,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
                 n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, PLACES)), pa.array(np.concatenate([[n], df]))], ["place", "n"])
 
-    found = docs.select("text").mapInArrow(part, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(part, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(PLACES + 1, np.int64)
     for r in found:
         out[r["place"] + 1] = r["n"]
