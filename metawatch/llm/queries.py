@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, langid, packing, quality, sharding, warc
+from . import classifier, fingerprints, jaccard, langid, packing, quality, sharding, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +46,12 @@ def op9_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.changed_paragraphs(_documents(spark, sf_dir), F.col("text"), masked)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_pairs(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_histogram_sort, op2_best_fit_packing, op3_quality_divergence, op4_warc_archive, op5_quality_classifier, op6_language_id, op9_iblt_fingerprints)
+    f.__name__: f for f in (op1_histogram_sort, op2_best_fit_packing, op3_quality_divergence, op4_warc_archive, op5_quality_classifier, op6_language_id, op9_iblt_fingerprints, op10_ngram_jaccard)
 }
 
 _WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
@@ -98,4 +102,12 @@ ORACLE_SQL: dict[str, str] = {
         d AS (SELECT doc_id, 'removed' AS side, p FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
               UNION ALL SELECT doc_id, 'added', p FROM (SELECT * FROM b EXCEPT SELECT * FROM a))
         SELECT doc_id, side, ('0x' || substr(md5(p), 1, 15))::BIGINT AS digest FROM d WHERE p <> ''""",
+    "op10_ngram_jaccard": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS t FROM w WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
+        SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard
+        FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.6""",
 }
