@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, jaccard, langid, packing, quality, sharding, warc
+from . import classifier, fingerprints, jaccard, langid, packing, quality, sharding, substrings, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "text", "cut_words")
+
+
 def op9_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paragraphs that masking digits changes, found from the sketches of both versions."""
     masked = F.regexp_replace("text", "[0-9]+", "0")
@@ -51,7 +55,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_histogram_sort, op2_best_fit_packing, op3_quality_divergence, op4_warc_archive, op5_quality_classifier, op6_language_id, op9_iblt_fingerprints, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_histogram_sort, op2_best_fit_packing, op3_quality_divergence, op4_warc_archive, op5_quality_classifier, op6_language_id, op8_substring_dedup, op9_iblt_fingerprints, op10_ngram_jaccard)
 }
 
 _WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
@@ -110,4 +114,15 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
         SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard
         FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.6""",
+    "op8_substring_dedup": r"""
+        WITH p AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS p FROM documents),
+        w AS (SELECT doc_id, list_transform(p, lambda x: regexp_extract(x, '\S+')) AS w FROM p),
+        i AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM w WHERE len(w) >= 50),
+        h AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM i),
+        r AS (SELECT doc_id, i FROM h QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM r),
+        a AS (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i FROM p),
+        k AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS kept, count(*) AS n FROM a ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, regexp_extract(text, '^\s*') || coalesce(kept, '') AS text, (len(p) - coalesce(n, 0))::INT AS cut_words
+        FROM documents d JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }

@@ -28,7 +28,8 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _P)
 _POW = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, at least, of the hashes' base and of its inverse."""
     if len(_POW["p"]) < n:
         size = max(n, 2 * len(_POW["p"]))
         for name, base in (("p", _P), ("i", _PINV)):
@@ -89,7 +90,7 @@ def words(data: np.ndarray, off: np.ndarray, letter: np.ndarray) -> tuple[np.nda
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[starts[i]:ends[i]]."""
-    p, inv = _powers(len(data) + 1)
+    p, inv = powers(len(data) + 1)
     h = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * p[: len(data)], out=h[1:])
     return mix((h[ends] - h[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
@@ -99,7 +100,7 @@ def hash_grams(values: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each n values in a row; len(values) - n + 1 of them, across texts too."""
     if len(values) < n:
         return np.zeros(0, np.uint64)
-    p, inv = _powers(len(values) + 1)
+    p, inv = powers(len(values) + 1)
     h = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * p[: len(values)], out=h[1:])
     return mix((h[n:] - h[:-n]) * inv[: len(values) - n + 1] + U(n))
