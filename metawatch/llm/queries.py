@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, jaccard, langid, packing, quality, sharding, substrings, warc
+from . import bpe, classifier, fingerprints, jaccard, langid, packing, quality, sharding, substrings, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    """The ids of every document, and whether they decode to its text (by its hash)."""
+    docs = _documents(spark, sf_dir).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    done = bpe.decode(bpe.encode(docs, vocabulary, ("doc_id", "mark")), vocabulary, ("doc_id", "mark", "ids"))
+    return done.select("doc_id", "ids", (F.xxhash64("text") == F.col("mark")).alias("exact"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "text", "cut_words")
 
@@ -55,7 +62,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_histogram_sort, op2_best_fit_packing, op3_quality_divergence, op4_warc_archive, op5_quality_classifier, op6_language_id, op8_substring_dedup, op9_iblt_fingerprints, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_histogram_sort, op2_best_fit_packing, op3_quality_divergence, op4_warc_archive, op5_quality_classifier, op6_language_id, op7_bpe, op8_substring_dedup, op9_iblt_fingerprints, op10_ngram_jaccard)
 }
 
 _WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
