@@ -110,6 +110,17 @@ def fit(docs: DataFrame, rows_per_language: int = 600, clusters: int = 4) -> tup
     return idf, np.vstack(centres), names
 
 
+def judge(texts: pa.Array, model: tuple, floor: float, full: int) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """(language or None, cosine to four places, whether it stays) of each text."""
+    idf, centres, names = model
+    counts = trigram_counts(texts)
+    n = counts.sum(1)
+    cos = vectors(counts, idf) @ centres.T if names else np.zeros((len(n), 1))
+    best, sim = cos.argmax(1), np.round(cos.max(1).astype(float), 4)
+    keep = (n > 0) & (sim >= limit(n, floor, full)) & bool(names)
+    return [names[i] if k else None for i, k in zip(best, keep)], sim, keep
+
+
 def identify(docs: DataFrame, rows_per_language: int = 600, clusters: int = 4, floor: float = 0.4, full: int = 400) -> DataFrame:
     """For each document: doc_id, language (null if rejected), similarity and keep.
 
@@ -120,16 +131,22 @@ def identify(docs: DataFrame, rows_per_language: int = 600, clusters: int = 4, f
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, rows_per_language, clusters))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, centres, names = model.value
         for big in batches:
             for b in pieces(big, "text"):
-                counts = trigram_counts(b.column(1))
-                n = counts.sum(1)
-                cos = vectors(counts, idf) @ centres.T if names else np.zeros((len(n), 1))
-                best, sim = cos.argmax(1), np.round(cos.max(1).astype(float), 4)
-                keep = (n > 0) & (sim >= limit(n, floor, full)) & bool(names)
-                said = [names[i] if k else None for i, k in zip(best, keep)]
+                said, sim, keep = judge(b.column(1), model.value, floor, full)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array(sim), pa.array(keep)], ["doc_id", "language", "similarity", "keep"])
 
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, language string, similarity double, keep boolean"
     return docs.select("doc_id", "text").mapInArrow(part, kind)
+
+
+def accepted(docs: DataFrame, rows_per_language: int = 600, clusters: int = 4, floor: float = 0.4, full: int = 400) -> DataFrame:
+    """The rows of docs that identify() keeps, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang"), rows_per_language, clusters))
+
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            b = pa.RecordBatch.from_arrays([text], ["text"])
+            yield pa.array(np.concatenate([judge(x.column(0), model.value, floor, full)[2] for x in pieces(b, "text")] or [np.zeros(0, bool)]))
+
+    return docs.filter(F.arrow_udf(keep, "boolean")(F.col("text")))

@@ -102,6 +102,41 @@ def references(docs: DataFrame, common: int = 64) -> dict[str | None, tuple[list
     return {k: (c, [(w, n) for _, w, n in sorted(m)], a[0]) for k, (c, m, a) in out.items()}
 
 
+class Judge:
+    """Distances of texts from the references of their languages."""
+
+    def __init__(self, refs: dict):
+        self.tables = {}
+        for lang, (chars, most, total) in refs.items():
+            joined = [w.encode() for w, _ in most]
+            ends = np.cumsum([len(w) for w in joined]).astype(np.int64)
+            h = hash_spans(np.frombuffer(b"".join(joined), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(joined)], ends)
+            order = np.argsort(h)
+            counts = np.array([n for _, n in most] + [total - sum(n for _, n in most)], float)
+            self.tables[lang] = (np.array(chars, float), h[order], order, counts)
+
+    def distances(self, texts: pa.Array, langs: list, least_chars: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(character distance, word distance) to six places, 0 where a text is too short."""
+        text = strings(texts)
+        chars = class_counts(*raw(text))
+        data, off = raw(pc.utf8_lower(text))
+        starts, ends, woff = words(data, off, ALNUM)
+        h, doc = hash_spans(data, starts, ends), texts_of(woff)
+        cjs, wjs = np.zeros(len(langs)), np.zeros(len(langs))
+        for lang in dict.fromkeys(langs):
+            ref, keys, order, counts = self.tables[lang]
+            rows = np.array([x == lang for x in langs])
+            at = np.full(len(langs), -1)
+            at[rows] = np.arange(rows.sum())
+            mine = rows[doc]
+            spot = np.minimum(np.searchsorted(keys, h[mine]), max(len(keys) - 1, 0))
+            slot = np.where(keys[spot] == h[mine], order[spot], len(keys)) if len(keys) else np.zeros(int(mine.sum()), np.int64)
+            hist = np.bincount(at[doc[mine]] * (len(keys) + 1) + slot, minlength=int(rows.sum()) * (len(keys) + 1)).reshape(-1, len(keys) + 1)
+            cjs[rows] = js_distance(chars[rows], np.broadcast_to(ref, (int(rows.sum()), CLASSES)))
+            wjs[rows] = js_distance(hist, np.broadcast_to(counts, hist.shape))
+        return np.where(chars.sum(1) >= least_chars, np.round(cjs, 6), 0.0), np.where(np.diff(woff) >= least_words, np.round(wjs, 6), 0.0)
+
+
 def divergence_rules(
     docs: DataFrame, common: int = 64, least_chars: int = 200, least_words: int = 50, char_limit: float = 0.3, word_limit: float = 0.45,
 ) -> DataFrame:
@@ -114,38 +149,28 @@ def divergence_rules(
     refs = references(docs, common)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {}
-        for lang, (chars, most, total) in refs.items():
-            joined = [w.encode() for w, _ in most]
-            ends = np.cumsum([len(w) for w in joined]).astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if joined else np.zeros(0, np.int64)
-            h = hash_spans(np.frombuffer(b"".join(joined), np.uint8), starts, ends if joined else np.zeros(0, np.int64))
-            order = np.argsort(h)
-            counts = np.array([n for _, n in most] + [total - sum(n for _, n in most)], float)
-            tables[lang] = (np.array(chars, float), h[order], order, counts)
+        judge = Judge(refs)
         for big in batches:
             for b in pieces(big, "text"):
-                langs = b.column("lang").to_pylist()
-                text = strings(b.column("text"))
-                chars = class_counts(*raw(text))
-                data, off = raw(pc.utf8_lower(text))
-                starts, ends, woff = words(data, off, ALNUM)
-                h, doc = hash_spans(data, starts, ends), texts_of(woff)
-                cjs, wjs = np.zeros(len(langs)), np.zeros(len(langs))
-                for lang in dict.fromkeys(langs):
-                    ref, keys, order, counts = tables[lang]
-                    rows = np.array([x == lang for x in langs])
-                    at = np.full(len(langs), -1)
-                    at[rows] = np.arange(rows.sum())
-                    mine = rows[doc]
-                    spot = np.minimum(np.searchsorted(keys, h[mine]), max(len(keys) - 1, 0))
-                    slot = np.where(keys[spot] == h[mine], order[spot], len(keys)) if len(keys) else np.zeros(int(mine.sum()), np.int64)
-                    hist = np.bincount(at[doc[mine]] * (len(keys) + 1) + slot, minlength=int(rows.sum()) * (len(keys) + 1)).reshape(-1, len(keys) + 1)
-                    cjs[rows] = js_distance(chars[rows], np.broadcast_to(ref, (int(rows.sum()), CLASSES)))
-                    wjs[rows] = js_distance(hist, np.broadcast_to(counts, hist.shape))
-                cjs = np.where(chars.sum(1) >= least_chars, np.round(cjs, 6), 0.0)
-                wjs = np.where(np.diff(woff) >= least_words, np.round(wjs, 6), 0.0)
-                keep = (cjs <= char_limit) & (wjs <= word_limit)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cjs), pa.array(wjs), pa.array(keep)], ["doc_id", "char_js", "word_js", "keep"])
+                cjs, wjs = judge.distances(b.column("text"), b.column("lang").to_pylist(), least_chars, least_words)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cjs), pa.array(wjs), pa.array((cjs <= char_limit) & (wjs <= word_limit))], ["doc_id", "char_js", "word_js", "keep"])
 
     return docs.mapInArrow(part, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, char_js double, word_js double, keep boolean")
+
+
+def passing(
+    docs: DataFrame, common: int = 64, least_chars: int = 200, least_words: int = 50, char_limit: float = 0.3, word_limit: float = 0.45,
+) -> DataFrame:
+    """The rows of docs that divergence_rules() keeps, with all their columns."""
+    refs = references(docs.select("text", "lang"), common)
+
+    def keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        judge = Judge(refs)
+        for text, lang in batches:
+            out = [np.zeros(0, bool)]
+            for b in pieces(pa.RecordBatch.from_arrays([text, lang], ["text", "lang"]), "text"):
+                cjs, wjs = judge.distances(b.column(0), b.column(1).to_pylist(), least_chars, least_words)
+                out.append((cjs <= char_limit) & (wjs <= word_limit))
+            yield pa.array(np.concatenate(out))
+
+    return docs.filter(F.arrow_udf(keep, "boolean")(F.col("text"), F.col("lang")))
