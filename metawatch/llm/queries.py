@@ -48,7 +48,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "text", "cut_words")
+    return substrings.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op9_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

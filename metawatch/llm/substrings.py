@@ -203,26 +203,27 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _neighbourhoods(docs: DataFrame, shared: DataFrame, least: int, shards: int) -> DataFrame:
-    """(shard, home, block, doc, start, reference, words): the stretches of text around shared fingerprints."""
+def _neighbourhoods(base: DataFrame, shared: DataFrame, least: int, shards: int) -> DataFrame:
+    """(home, block, doc, start, ref, words, shard): the stretches of text around shared fingerprints."""
     k = (least + 1) // 2
-    spots = shared.groupBy("doc").agg(F.collect_list(F.struct("home", "block", "pos", "first")).alias("spots"))
+    spots = shared.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("home", "block", "pos", "first")).alias("__spots"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
+            big = big.filter(big.column("__spots").is_valid())
             for b in pieces(big, "text"):
-                data, off = raw(strings(b.column(1)))
+                data, off = raw(strings(b.column("text")))
                 starts, ends, woff = words(data, off, SPACED)
                 blob = data.tobytes()
                 out: list[tuple] = []
-                for i, (doc, spots_) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                for i, (doc, spots_) in enumerate(zip(b.column("__doc").to_pylist(), b.column("__spots").to_pylist())):
                     kinds: dict[tuple, list] = {}
                     size = int(woff[i + 1] - woff[i])
                     for x in spots_:
-                        at = x["pos"]
-                        kinds.setdefault((x["home"], x["block"], False), []).append((max(at - (least - k), 0), min(at + least, size)))
+                        span = (max(x["pos"] - (least - k), 0), min(x["pos"] + least, size))
+                        kinds.setdefault((x["home"], x["block"], False), []).append(span)
                         if x["first"]:
-                            kinds.setdefault((x["home"], x["block"], True), []).append((max(at - (least - k), 0), min(at + least, size)))
+                            kinds.setdefault((x["home"], x["block"], True), []).append(span)
                     for (home, block, ref), spans in kinds.items():
                         for lo, hi in _merged(spans):
                             a, z = starts[woff[i] + lo], ends[woff[i] + hi - 1]
@@ -230,10 +231,9 @@ def _neighbourhoods(docs: DataFrame, shared: DataFrame, least: int, shards: int)
                 cols = list(zip(*out)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.string()))], ["home", "block", "doc", "start", "ref", "words"])
 
-    joined = docs.join(spots, "doc").select("doc", "text", "spots")
-    kind = "home long, block int, doc long, start int, ref boolean, words string"
-    found = joined.mapInArrow(part, kind).withColumn("shard", F.pmod(F.xxhash64("home", "block"), F.lit(shards)))
-    return found
+    # a left join over all columns, so that this plan's exchange of base is the one that remove_repeats() reads again
+    joined = base.join(spots, base["doc_id"] == spots["__doc"], "left")
+    return joined.mapInArrow(part, "home long, block int, doc long, start int, ref boolean, words string").withColumn("shard", F.pmod(F.xxhash64("home", "block"), F.lit(shards)))
 
 
 def _matches(near: DataFrame, least: int, most_words: int) -> DataFrame:
@@ -270,16 +270,17 @@ def _matches(near: DataFrame, least: int, most_words: int) -> DataFrame:
     return near.repartition("shard").sortWithinPartitions("shard", "home", "block", "doc", "start").mapInArrow(part, "doc long, start int, end int")
 
 
-def repeated_spans(docs: DataFrame, least: int = 50, shard_words: int = 20_000) -> DataFrame:
-    """(doc, spans: of the words that go, as pairs of first word and the one after the last), only documents that have some.
+def repeated_spans(base: DataFrame, docs: DataFrame, least: int = 50, shard_words: int = 20_000) -> DataFrame:
+    """(__doc, __spans: of the words that go, as pairs of first word and the one after the last), only documents that have some.
 
-    docs: (doc, text).  shard_words: of reference text in a shard, about, and the most that one automaton takes in.
+    base: the rows of docs, placed by doc_id.  shard_words: of reference text in a shard, about, and the most that one automaton takes in.
     """
-    shared = written(_shared(_fingerprints(docs, least)), "shared-prints")
+    one = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    shared = written(_shared(_fingerprints(one, least)), "shared-prints")
     size = shared.filter("first").count() * (least // 2)
-    near = _neighbourhoods(docs, shared, least, max(1, -(-size // shard_words)))
+    near = _neighbourhoods(base, shared, least, max(1, -(-size // shard_words)))
     spans = _matches(near, least, shard_words)
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    return spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
 
 
 def _cut(text: str, spans: list) -> tuple[str, int]:
@@ -300,8 +301,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, shard_words: int = 20_000)
 
     least: words of the shortest passage that goes.  shard_words: as in repeated_spans().
     """
-    one = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = written(repeated_spans(one, least, shard_words).withColumnRenamed("doc", "__doc"), "spans")
+    base = docs.drop("cut_words").repartition("doc_id")
+    spans = repeated_spans(base, docs, least, shard_words)
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, found in batches:
@@ -309,7 +310,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, shard_words: int = 20_000)
             yield pa.StructArray.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int32())], ["text", "n"])
 
     cutter = F.arrow_udf(cut, "text string, n int")
-    kept = [c for c in docs.columns if c != "cut_words"]
-    joined = docs.select(*kept).join(spans, docs["doc_id"] == spans["__doc"], "left")
+    kept = base.columns
+    joined = base.join(spans, base["doc_id"] == spans["__doc"], "left")
     done = joined.withColumn("__done", F.when(F.col("__spans").isNull(), F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))).otherwise(cutter(F.col("text"), F.col("__spans"))))
     return done.select(*[F.col("__done.text").alias("text") if c == "text" else F.col(c) for c in kept], F.col("__done.n").alias("cut_words"))
