@@ -27,20 +27,20 @@ def _seconds(text: str) -> float:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog=report.NAME, description=__doc__)
     p.add_argument("path", nargs="?", help="a captured listing, or - for standard input")
-    p.add_argument("--manifest", action="append", default=[], help="a captured listing; may be given several times")
+    lists = {"manifest": "a captured listing", "server": "one of the servers of --config", "header": "NAME: VALUE, for --http and --sse"}
+    for flag, said in lists.items():
+        p.add_argument(f"--{flag}", default=[], action="append", help=f"{said}; may be given several times")
     p.add_argument("--config", help="a client configuration")
     p.add_argument("--stdio", nargs=argparse.REMAINDER, help="a command to launch")
     p.add_argument("--http", help="a server's URL")
     p.add_argument("--sse", help="a server's URL, older transport")
-    p.add_argument("--server", action="append", default=[], help="only these servers of --config")
-    p.add_argument("--header", action="append", default=[], help="NAME: VALUE, for --http and --sse")
     p.add_argument("--timeout", type=_seconds, help="seconds for each live server")
     p.add_argument("--fail-on", choices=list(SEVERITY), default="medium")
     for flag in ("--baseline", "--write-baseline", "--pin", "--write-pin"):
         p.add_argument(flag)
     for flag in ("--fail-on-stale-baseline", "--json", "--sarif", "--no-color"):
         p.add_argument(flag, action="store_true")
-    p.add_argument("--version", action="version", version="0.1.0")
+    p.add_argument("--version", version="0.1.0", action="version")
     return p
 
 

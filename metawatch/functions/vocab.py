@@ -77,4 +77,4 @@ CREDENTIAL_FILES = [
 ]
 
 SEVERITY = {"low": (1, 5), "medium": (2, 15), "high": (3, 40)}  # rank, points
-KINDS = ("tool", "prompt", "resource", "server")
+KINDS = tuple("tool prompt resource server".split())

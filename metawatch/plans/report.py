@@ -13,7 +13,7 @@ from ..functions.render import visible
 from ..functions.vocab import KINDS
 
 NAME = "metawatch"
-BANDS = ("CLEAN", "LOW", "MEDIUM", "HIGH")
+BANDS = tuple("CLEAN LOW MEDIUM HIGH".split())
 _COLOUR = {"CLEAN": "32", "LOW": "36", "MEDIUM": "33", "HIGH": "31"}
 
 
@@ -48,11 +48,11 @@ def summary_line(rows: list[dict[str, Any]], baselined: int = 0) -> str:
     return f"{seen} scanned, {sum(bool(r['findings']) for r in rows)} flagged, {sum(len(r['findings']) for r in rows)} finding(s)." + f" {baselined} baselined." * bool(baselined)
 
 
-def render_text(rows: list[dict[str, Any]], colour: bool = False, baselined: int = 0, source: bool = False) -> str:
+def render_text(rows: list[dict[str, Any]], colour: bool = False, baselined: int = 0, source: bool = False):
     return "\n".join([*(x for r in rows for x in entity_lines(r, colour, source)), summary_line(rows, baselined)])
 
 
-def render_sections(rows: list[dict[str, Any]], status: list[Row], config: str, colour: bool = False, baselined: int = 0) -> str:
+def render_sections(rows: list[dict[str, Any]], status: list[Row], config: str, colour: bool = False, baselined: int = 0):
     """A section for each server that was asked for, in config order, whatever became of it."""
     out: list[str] = []
     for s in status:
@@ -92,7 +92,8 @@ def to_json(
     return {**lists, **state, "summary": totals}
 
 
-_LEVEL = {"high": "error", "medium": "warning", "low": "note"}
+_LEVEL = dict(zip("high medium low".split(), "error warning note".split()))
+SARIF = "2.1.0"
 SARIF_RULES = {
     "data-exfiltration": ("error", "An outbound verb sends a secret or the system prompt away."),
     "hidden-instructions": ("error", "Text that instructs the model that reads it."),
@@ -114,7 +115,7 @@ def to_sarif(rows: list[dict[str, Any]], uri: str | None = None, status: Iterabl
     def result(r: dict[str, Any], f: Row) -> dict[str, Any]:
         place: dict[str, Any] = {"logicalLocations": [{"fullyQualifiedName": f["path"] or r["label"], "kind": "member"}]}
         if uri is not None:
-            place["physicalLocation"] = {"artifactLocation": {"uri": uri}}
+            place |= {"physicalLocation": dict(artifactLocation=dict(uri=uri))}
         where = f"{visible(r['source'])} / " if r["source"] is not None else ""
         said = f"{where}{r['kind']} {visible(r['label'])}: {f['message']}. Flagged text: {visible(f['match'])}"
         more = {} if r["source"] is None else {"source": r["source"]}
@@ -125,23 +126,27 @@ def to_sarif(rows: list[dict[str, Any]], uri: str | None = None, status: Iterabl
         }
         return out | ({"ruleIndex": index[f["rule"]]} if f["rule"] in index else {})
 
-    rules = [{"id": k, "name": k, "shortDescription": {"text": text}, "defaultConfiguration": {"level": level}} for k, (level, text) in SARIF_RULES.items()]
-    run: dict[str, Any] = {"tool": {"driver": {"name": NAME, "version": version, "rules": rules}}, "results": [result(r, f) for r in rows for f in r["findings"]]}
+    rules = [dict(id=k, name=k, shortDescription=dict(text=text), defaultConfiguration=dict(level=level)) for k, (level, text) in SARIF_RULES.items()]
+    run = dict(tool=dict(driver=dict(name=NAME, version=version, rules=rules)), results=[result(r, f) for r in rows for f in r["findings"]])
     if status := list(status):
         missed = [s for s in status if s["status"] != "scanned"]
+
+        def why(s: Row) -> str:
+            return visible(s["error"] or "unknown reason") if s["status"] == "failed" else "it is switched off there"
+
         notes = [
-            {"level": "error" if s["status"] == "failed" else "note", "message": {"text": f"server {visible(s['name'])} was not scanned: " + ("disabled in the config" if s["status"] == "disabled" else visible(s["error"] or "unknown reason"))}}
+            dict(level="note" if s["status"] == "disabled" else "error", message=dict(text=f"server {visible(s['name'])} was not scanned: {why(s)}"))
             for s in missed
         ]
         run["invocations"] = [{"executionSuccessful": not any(s["status"] == "failed" for s in status), "toolExecutionNotifications": notes}]
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}
+    return {"$schema": f"https://json.schemastore.org/sarif-{SARIF}.json", "version": SARIF, "runs": [run]}
 
 
 def dumped(value: Any) -> str:
     return json.dumps(value, indent=2, ensure_ascii=True) + "\n"
 
 
-# --- state files ----------------------------------------------------------------
+# state files
 
 BASELINE = "file_ord int, kind string, label string, rule string, path string, fingerprint string, excerpt string, source string"
 PINS = "source string, kind string, label string, occ int, fields map<string,string>"

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
+from os import environ
+from pathlib import Path
 from typing import Any
 from urllib.parse import urlsplit
 
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.render import visible
 
 
+Strings = dict[str, str]
+
+
 class ConfigError(ValueError):
     """A configuration that cannot be read as a whole."""
 
@@ -27,16 +31,17 @@ class Server:
     transport: str | None = None
     command: str | None = None
     args: list[str] = field(default_factory=list)
-    env: dict[str, str] = field(default_factory=dict)
+    env: Strings = field(default_factory=dict)
     cwd: str | None = None
     url: str | None = None
-    headers: dict[str, str] = field(default_factory=dict)
+    headers: Strings = field(default_factory=dict)
     disabled: bool = False
     error: str | None = None
 
 
 SCHEMA = "ord int, name string, transport string, command string, args array<string>, env map<string,string>, cwd string, url string, headers map<string,string>, disabled boolean, error string"
 
+_HOLE = re.compile("[$][{]([^}{]*)[}]")
 _STRING = r'"(?:\\.|[^"\\])*(?:"|\\?$)'
 _COMMENTS = re.compile(rf"{_STRING}|//[^\n]*|/\*.*?\*/|/\*", re.S)
 _MARKS = re.compile(rf"{_STRING}|[^\t\n\r ]", re.S)
@@ -79,22 +84,22 @@ class Values:
 
     env: Mapping[str, str]
     folder: str | None = None
-    inputs: Mapping[str, str] = field(default_factory=dict)
+    inputs: Strings = field(default_factory=dict)
     on: bool = True
 
     def expand(self, text: str, where: str) -> str:
         """text with its placeholders filled in, once: what comes in is not looked at again."""
-        return re.sub(r"\$\{([^{}]*)\}", lambda m: self._one(m[1], where), text) if self.on else text
+        return _HOLE.sub(lambda m: self._one(m[1], where), text) if self.on else text
 
     def _one(self, ref: str, where: str) -> str:
         shown = f"${{{visible(ref)}}}"
         name, has_default, default = ref.partition(":-")
         if name == "userHome":
-            return os.path.expanduser("~")
+            return str(Path.home())
         if name.startswith("workspaceFolder") and name.removeprefix("workspaceFolder") in ("", "Basename"):
             if self.folder is None:
                 raise ConfigError(f"{where} references {shown}, but the config did not come from a file")
-            return os.path.basename(self.folder) if name.endswith("Basename") else self.folder
+            return Path(self.folder).name if name.endswith("Basename") else self.folder
         if name.startswith("input:"):
             said = self.inputs.get(name.removeprefix("input:"))
             raise ConfigError(f"{where} needs {shown}{f' ({visible(said)})' if said else ''}, which only a prompt can supply")
@@ -116,7 +121,7 @@ def transport_of(url: str) -> str:
     return "sse" if urlsplit(url).path.rstrip("/").endswith("/sse") else "http"
 
 
-_KNOWN = {"stdio": "stdio", "http": "http", "streamable-http": "http", "streamablehttp": "http", "streamable_http": "http", "sse": "sse"}
+_KNOWN = {k: k for k in ("sse", "stdio", "http")} | dict.fromkeys(("streamable_http", "streamablehttp", "streamable-http"), "http")
 
 
 def _strings(entry: dict, key: str, kind: type) -> Any:
@@ -135,7 +140,8 @@ def _server(name: str, entry: Any, values: Values) -> Server:
     off = entry.get("disabled") is True
     if off:
         values = Values({}, on=False)
-    declared, command, url = entry.get("type", entry.get("transport")), entry.get("command"), entry.get("url")
+    declared = entry["type"] if "type" in entry else entry.get("transport")
+    command, url = entry.get("command"), entry.get("url")
     if declared is not None and not isinstance(declared, str):
         raise ConfigError('"type" must be a string')
     transport = _KNOWN.get(declared.strip().lower()) if declared is not None else None
@@ -145,7 +151,7 @@ def _server(name: str, entry: Any, values: Values) -> Server:
         raise ConfigError('has a "command" and a "url"')
     if isinstance(url, str):
         url = values.expand(url, '"url"')
-    if transport is None:
+    if not transport:
         if command is None and url is None:
             raise ConfigError('has neither a "command" nor a "url"')
         transport = "stdio" if command is not None else transport_of(str(url))
@@ -163,10 +169,9 @@ def _server(name: str, entry: Any, values: Values) -> Server:
         raise ConfigError(f'"{needed}" must be a non-empty string')
     if transport != "stdio":
         return Server(name, transport, url=value, headers=filled("headers"), disabled=off)
-    cwd = entry.get("cwd")
-    if cwd is not None and not isinstance(cwd, str):
+    if not isinstance(cwd := entry.get("cwd"), str | None):
         raise ConfigError('"cwd" must be a string')
-    args = [values.expand(x, f'"args[{i}]"') for i, x in enumerate(_strings(entry, "args", list))]
+    args = [values.expand(x, f'"args[{i}]"') for (i, x) in enumerate(_strings(entry, "args", list))]
     return Server(name, transport, value, args, filled("env"), None if cwd is None else values.expand(cwd, '"cwd"'), disabled=off)
 
 
@@ -177,7 +182,7 @@ def parse_config(data: Any, folder: str | None = None, env: Mapping[str, str] |
         raise ConfigError('a config is an object with an "mcpServers" or "servers" map')
     inputs = data.get("inputs")
     said = {x["id"]: x["description"] if isinstance(x.get("description"), str) else "" for x in inputs if isinstance(x, dict) and isinstance(x.get("id"), str)} if isinstance(inputs, list) else {}
-    values, out = Values(os.environ if env is None else env, folder, said), {}
+    values, out = Values(environ if env is None else env, folder, said), {}
     for key, block in blocks:
         if not isinstance(block, dict):
             raise ConfigError(f'"{key}" must be an object of servers')
@@ -193,14 +198,13 @@ def parse_config(data: Any, folder: str | None = None, env: Mapping[str, str] |
 
 def load_config(path: str, env: Mapping[str, str] | None = None) -> list[Server]:
     """A config file's servers; its folder, or the one above .vscode, is the workspace."""
-    with open(path, encoding="utf-8") as f:
-        text = strip_jsonc(f.read())
-    folder = os.path.dirname(os.path.abspath(path))
+    text = strip_jsonc(Path(path).read_text("utf-8"))
+    folder = Path(path).absolute().parent
     try:
         data = json.loads(text)
     except ValueError as e:
         raise ConfigError(f"not JSON, even without comments and trailing commas: {e}") from None
-    return parse_config(data, os.path.dirname(folder) if os.path.basename(folder) == ".vscode" else folder, env)
+    return parse_config(data, str(folder.parent if folder.name == ".vscode" else folder), env)
 
 
 def select(servers: list[Server], names: list[str]) -> list[Server]:

@@ -148,3 +148,11 @@ def test_plans_keep_the_filter_below_python_and_broadcast_nothing_unchecked(spar
     docs_ = spark.read.parquet(f"{SMALL}/documents.parquet")
     plan = op.of_texts(docs_, "doc_id", F.col("text"))._jdf.queryExecution().executedPlan().toString()
     assert "RLIKE" in plan[plan.index("EvalPython") :] and "lang" not in plan
+
+
+def test_plain_scan_agrees_with_the_plan(spark):
+    from metawatch.functions.scan import scan_targets
+
+    plain = scan_targets({"tool": TOOLS["tools"][:2], "prompt": TOOLS["prompts"]})
+    a = audit.of_documents(docs(spark, json.dumps({**TOOLS, "tools": TOOLS["tools"][:2]})))
+    assert [(r["score"], r["band"], len(r["findings"])) for r in plain] == [(r["score"], r["band"], r["n_findings"]) for r in a.results().collect()]
