@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import bounded_batches, written
 from .textarrays import hash_spans, raw, strings
 
 #: The pattern of the public 50k vocabularies, with white space as Unicode has it.
@@ -46,16 +46,21 @@ def _encoding(ranks: Broadcast) -> tiktoken.Encoding:
     return _MADE[key]
 
 
+def packed(ranks: dict[bytes, int]) -> type:
+    """The narrowest of two number types that holds all ids."""
+    return np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
+
+
 def word_table(split: DataFrame, ranks: Broadcast) -> DataFrame:
-    """(word, hash, ids as 32-bit numbers in bytes) of the distinct words, each encoded once; written to the shared folder."""
+    """(word, hash, ids packed in bytes) of the distinct words, each encoded once; written to the shared folder."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(ranks)._encode_single_piece
+        encode, kind = _encoding(ranks)._encode_single_piece, packed(ranks.value)
         for b in batches:
             w = strings(b.column(0))
             data, off = raw(w)
             h = hash_spans(data, off[:-1], off[1:]).astype(np.int64)
-            ids = [np.array(encode(x.encode()), np.uint32).tobytes() for x in w.to_pylist()]
+            ids = [np.array(encode(x.encode()), kind).tobytes() for x in w.to_pylist()]
             yield pa.RecordBatch.from_arrays([w, pa.array(h), pa.array(ids, pa.binary())], ["word", "hash", "ids"])
 
     words = split.select(F.explode("words").alias("word")).distinct()
@@ -65,18 +70,20 @@ def word_table(split: DataFrame, ranks: Broadcast) -> DataFrame:
 class Lookup:
     """Ids of words by hash: sorted hashes with an index over their first bits."""
 
-    def __init__(self, table: pa.Table):
-        h = table.column("hash").combine_chunks().to_numpy().view(np.uint64)
+    def __init__(self, table: pa.Table, kind: type):
+        h = table.column("hash").to_numpy().view(np.uint64)
         order = np.argsort(h)
         self.hash = h[order]
-        ids = table.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-        if isinstance(ids, pa.ChunkedArray):
-            ids = ids.combine_chunks()
+        ids = table.column("ids").combine_chunks()
         _, off, data = ids.buffers()
-        self.off = np.frombuffer(off, np.int64)[: len(ids) + 1] // 4
-        self.ids = np.frombuffer(data, np.uint32)[: self.off[-1]].astype(np.int32) if len(ids) else np.zeros(0, np.int32)
-        self.bits = max(int(len(h)).bit_length(), 1)
-        self.begin = np.searchsorted(self.hash >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1)).astype(np.int32)
+        size = np.dtype(kind).itemsize
+        begin = np.frombuffer(off, np.int32)[ids.offset : ids.offset + len(ids) + 1] // size
+        n = np.diff(begin)[order]
+        self.off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        flat = np.frombuffer(data, kind) if data is not None else np.zeros(0, kind)
+        self.ids = flat[np.repeat(begin[:-1][order] - self.off[:-1], n) + np.arange(self.off[-1], dtype=np.int32)]
+        self.bits = max(int(len(h)).bit_length() - 1, 1)
+        self.begin = np.searchsorted(self.hash >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     def unique(self) -> bool:
         return bool((self.hash[1:] != self.hash[:-1]).all())
@@ -91,7 +98,7 @@ class Lookup:
         return at
 
 
-def _slices(b: pa.RecordBatch, column: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+def _slices(b: pa.RecordBatch, column: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many list elements, one row at least."""
     off = np.asarray(b.column(column).offsets)
     i = 0
@@ -112,7 +119,7 @@ def _looked_up(split: DataFrame, lookup: Broadcast, keep: list[str]) -> DataFram
                 place = table.find(hash_spans(data, off[:-1], off[1:]))
                 start, n = table.off[place], table.off[place + 1] - table.off[place]
                 end = np.concatenate([[0], np.cumsum(n)])
-                ids = table.ids[np.repeat(start - end[:-1], n) + np.arange(end[-1])]
+                ids = table.ids[np.repeat(start - end[:-1], n) + np.arange(end[-1])].astype(np.int32)
                 row = np.asarray(col.offsets).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(end[row - row[0]].astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], [*keep, "ids"])
@@ -121,19 +128,20 @@ def _looked_up(split: DataFrame, lookup: Broadcast, keep: list[str]) -> DataFram
     return split.select(*keep, "words").mapInArrow(part, f"{kind}, ids array<int>")
 
 
-def _joined(split: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
+def _joined(docs: DataFrame, words: Column, table: DataFrame, keep: list[str], kind_of: type) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("parts")
-            ids = [np.frombuffer(b"".join(x["ids"] for x in row), np.uint32).astype(np.int32) for row in b.column(at).to_pylist()]
+            ids = [np.frombuffer(b"".join(x["ids"] for x in row or ()), kind_of).astype(np.int32) for row in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
 
-    numbered = split.withColumn("__row", F.monotonically_increasing_id())
-    placed = numbered.select(*keep, "__row", F.posexplode_outer("words").alias("__at", "word"))
-    met = placed.join(table.select("word", "ids"), "word", "left")
-    rows = met.groupBy("__row").agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct(F.col("__at").alias("at"), "ids")))).alias("parts"))
-    kind = ", ".join(f"`{c}` {split.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, "parts").mapInArrow(part, f"{kind}, ids array<int>")
+    # the row numbers are written down, as both sides of the last join must see the same ones
+    numbered = written(docs.select(*keep, words.alias("__words"), F.monotonically_increasing_id().alias("__row")), "numbered")
+    placed = numbered.select("__row", F.posexplode("__words").alias("__at", "word"))
+    met = placed.join(table.select("word", "ids"), "word")
+    parts = met.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct(F.col("__at").alias("at"), "ids"))).alias("parts"))
+    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return numbered.drop("__words").join(parts, "__row", "left").select(*keep, "parts").mapInArrow(part, f"{kind}, ids array<int>")
 
 
 def encode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), table_bytes: int = 128 << 20, pattern: str = PATTERN) -> DataFrame:
@@ -141,21 +149,24 @@ def encode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",)
 
     vocabulary: path of a rank file, read on the driver.  table_bytes: the largest word table, in bytes, that is broadcast.
     """
+    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     keep = [c for c in keep if c not in ("words", "ids")]
     text = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))
     split = docs.select(*keep, text.alias("words"))
-    table = word_table(split, context.broadcast(load_ranks(vocabulary)))
+    ranks = load_ranks(vocabulary)
+    table, kind = word_table(split, context.broadcast(ranks)), packed(ranks)
     size = table.agg(F.sum(F.octet_length("ids") + 16)).first()[0] or 0
     if size <= table_bytes:
-        lookup = Lookup(table.select("hash", "ids").toArrow())
+        lookup = Lookup(table.select("hash", "ids").toArrow(), kind)
         if lookup.unique():
             return _looked_up(split, context.broadcast(lookup), keep)
-    return _joined(split, table, keep)
+    return _joined(docs, text, table, keep, kind)
 
 
 def decode(encoded: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """The columns ``keep`` of encoded and text, put together from the pieces of ids."""
+    bounded_batches(encoded.sparkSession)
     ranks = load_ranks(vocabulary)
     pieces = [b""] * (max(ranks.values()) + 2)
     for piece, i in ranks.items():

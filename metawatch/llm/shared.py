@@ -35,3 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch, where it is higher.
+
+    Results do not depend on it.  Lists of words or ids take several times the room of their text, in the
+    JVM's direct memory and in every Python worker, so the usual 64 MB a batch overfill a small executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    digits = now.lower().rstrip("b")
+    if not digits.isdigit() or int(digits) > most:
+        spark.conf.set(name, str(most))
