@@ -31,7 +31,7 @@ def test_query_matches_sql(spark, name):
     same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SMALL)
 
 
-# --- words and hashes -------------------------------------------------------------
+# words and hashes
 
 
 def test_words_and_hashes_are_those_of_plain_python():
@@ -55,7 +55,7 @@ def test_runs_keep_keys_whole():
     assert sum(parts, []) == k.tolist() and all(not set(a) & set(b) for a, b in itertools.combinations(parts, 2)) and len(parts) > 5
 
 
-# --- 1 sharding -------------------------------------------------------------------
+# 1 sharding
 
 
 def test_sort_odd_rows(odd):
@@ -81,7 +81,7 @@ def test_cuts_are_as_even_as_asked(spark, tolerance):
         assert r["shard"] == min(int(exact), 6) if not tolerance else r["shard"] - tolerance <= exact + size[r["a"], r["b"]] * 7 / total and exact <= r["shard"] + 1 + tolerance
 
 
-# --- 2 packing --------------------------------------------------------------------
+# 2 packing
 
 
 def fewest(sizes, room):
@@ -132,7 +132,7 @@ def test_pack_odd_rows(odd):
     assert all(sum(n for _, n in b) <= 1000 and all(x[0] + x[1] == y[0] for x, y in itertools.pairwise(sorted(b))) for b in bins.values())
 
 
-# --- 3 quality rules ---------------------------------------------------------------
+# 3 quality rules
 
 
 def test_quality_of_odd_rows(odd, spark):
@@ -150,7 +150,7 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert {r["doc_id"] for r in quality.passing(docs).collect()} == {r["doc_id"] for r in quality.divergence_rules(docs).filter("keep").collect()}
 
 
-# --- 4 archive --------------------------------------------------------------------
+# 4 archive
 
 
 def test_archive_keeps_each_payload_once(spark):
@@ -168,7 +168,7 @@ def test_archive_keeps_each_payload_once(spark):
     assert warc.restore(*warc.archive(recs.limit(0))).count() == 0
 
 
-# --- 5 classifier, 6 language identification ---------------------------------------
+# 5 classifier, 6 language identification
 
 
 def labelled(spark):
@@ -221,7 +221,7 @@ def test_language_odd_rows(odd):
     assert langid.accepted(odd).columns == odd.columns and langid.accepted(odd).count() == langid.identify(odd).filter("keep").count()
 
 
-# --- 7 BPE ------------------------------------------------------------------------
+# 7 BPE
 
 
 @pytest.mark.parametrize("table_bytes", [128 << 20, 0])
@@ -243,7 +243,7 @@ def test_bpe_decodes_odd_ids(spark):
     assert [r["text"] for r in bpe.decode(rows, VOCABULARY).orderBy("doc_id").collect()][1:] == ["", ""]
 
 
-# --- 8 substrings -----------------------------------------------------------------
+# 8 substrings
 
 
 def slow_cut(docs, least):
@@ -301,7 +301,7 @@ def test_automaton_knows_every_substring(seed):
         assert {i for a, z in made.covered(q, doc, 4) for i in range(a, z)} == want
 
 
-# --- 9 fingerprints ---------------------------------------------------------------
+# 9 fingerprints
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -322,7 +322,7 @@ def test_fingerprints_odd_rows(odd):
     assert fingerprints.changed_paragraphs(odd.limit(0), F.col("text"), masked).count() == 0
 
 
-# --- 10 Jaccard join --------------------------------------------------------------
+# 10 Jaccard join
 
 
 def slow_pairs(docs, n, limit):
