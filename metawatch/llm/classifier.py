@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .textarrays import SPACED, U, hash_spans, mix, pieces, raw, strings, words
 
 BUCKETS = 1 << 17
@@ -132,6 +133,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, toxic_l
 
     toxic_limit, poor_limit: a document goes where toxic, or 1 - good, is above them.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_rows))
 

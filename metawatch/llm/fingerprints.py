@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .textarrays import U, mix, pieces
 
 HASHES = 3
@@ -28,7 +29,7 @@ HASHES = 3
 
 def digest(paragraph: str) -> int:
     """60 bits of the paragraph's MD5."""
-    return int(hashlib.md5(paragraph.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+    return int.from_bytes(hashlib.md5(paragraph.encode()).digest()[:8], "big") >> 4
 
 
 def cells_of(keys: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
@@ -116,12 +117,13 @@ def changed_paragraphs(docs: DataFrame, old: Column, new: Column, cells: int = 1
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in pieces(big, "a", 8 << 20):
+            for b in pieces(big, "a"):
                 sets = [[{digest(p) for p in (t or "").split("\n") if p} for t in b.column(i).to_pylist()] for i in (1, 2)]
                 d, k, s, _ = differences(*sets, cells)
                 order = np.lexsort((k, s, d))
                 d, k, s = d[order], k[order], s[order]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(np.where(s > 0, "removed", "added")), pa.array(k.astype(np.int64))], ["doc_id", "side", "digest"])
 
+    bounded_batches(docs.sparkSession)
     kind = f"doc_id {docs.schema[key].dataType.simpleString()}, side string, digest long"
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(old, F.lit("")).alias("a"), F.coalesce(new, F.lit("")).alias("b")).mapInArrow(part, kind)

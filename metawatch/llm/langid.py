@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .textarrays import U, pieces, raw, strings, texts_of
 
 PLACES = 4096
@@ -60,6 +61,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
                 n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, PLACES)), pa.array(np.concatenate([[n], df]))], ["place", "n"])
 
+    bounded_batches(docs.sparkSession)
     found = docs.select("text").mapInArrow(part, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(PLACES + 1, np.int64)
     for r in found:

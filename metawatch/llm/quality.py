@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .textarrays import ALNUM, hash_spans, pieces, raw, strings, texts_of, words
 
 #: Lower case, upper case, digits, white space, common punctuation, other ASCII, beyond ASCII; -1: not the first byte of a character.
@@ -87,6 +88,7 @@ def references(docs: DataFrame, common: int = 64) -> dict[str | None, tuple[list
                 w, c = zip(*rows[i : i + 50_000])
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(w), "kind": [-1] * len(w), "word": w, "n": c}, schema=shape)
 
+    bounded_batches(docs.sparkSession)
     shape = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
     counted = docs.select("text", "lang").mapInArrow(part, "lang string, kind int, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")

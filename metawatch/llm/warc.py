@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import bounded_batches, written
 
 _BREAK = b"\r\n\r\n"
 
@@ -61,6 +61,7 @@ def archive(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ["digest", "size", "payload", "second"],
             )
 
+    bounded_batches(recs.sparkSession)
     page_id = recs.schema["page_id"].dataType.simpleString()
     headers = recs.select("page_id", "record").mapInArrow(heads, f"page_id {page_id}, header binary, digest binary")
     same = (F.max("second") == F.min("second")) & (F.max("size") == F.min("size"))
