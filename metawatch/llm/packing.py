@@ -16,11 +16,14 @@ from __future__ import annotations
 import sys
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LEAVES = 16
+
 
 def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     """Bins of positions in sizes (falling), each size put where the least room stays."""
@@ -95,22 +98,28 @@ def fillings(sizes: list[int], room: int, steps: list[int]) -> Iterator[list[int
     yield from grow(0, room, [])
 
 
-def complete(sizes: list[int], room: int, nodes: int) -> list[list[int]]:
-    """The best packing of sizes (falling) found within so many nodes; the optimum, where the search ends before."""
+def solve(sizes: list[int], room: int, nodes: int) -> tuple[list[list[int]], bool]:
+    """The best packing of sizes (falling) found, and whether the search ended before its budget, so that it is the optimum.
+
+    The budget is ``nodes`` search nodes for each hundred sizes, and apart from them LEAVES times as many fillings looked at.
+    """
     best = best_fit(sizes, room)
     floor = volume_bound(sizes, room)
     if len(best) > floor:
         floor = lower_bound(sizes, room)
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(sizes) + 1000))
-    steps = [nodes]
+    steps = [nodes * max(1, -(-len(sizes) // 100))]
+    leaves = [LEAVES * steps[0]]
+    ended = True
 
     def search(left: list[int], done: list[list[int]], waste: int) -> bool:
-        nonlocal best
+        nonlocal best, ended
         if not left:
             if len(done) < len(best):
                 best = list(done)
             return len(best) == floor
         if steps[0] <= 0:
+            ended = False
             return True
         steps[0] -= 1
         mine = [sizes[i] for i in left]
@@ -121,25 +130,35 @@ def complete(sizes: list[int], room: int, nodes: int) -> list[list[int]]:
             best = done + [[left[i] for i in b] for b in tail]
             if len(best) == floor:
                 return True
-        options = sorted(fillings(mine[1:], room - mine[0], steps), key=lambda f: -sum(mine[1 + i] for i in f))
-        for f in options:
-            taken = {0, *(1 + i for i in f)}
-            gap = room - sum(mine[i] for i in taken)
-            rest = [x for i, x in enumerate(left) if i not in taken]
-            if search(rest, [*done, [left[i] for i in sorted(taken)]], waste + gap):
-                return True
+        found = fillings(mine[1:], room - mine[0], leaves)
+        # by the handful, so that a node of many fillings does not use up the leaves before the first is followed
+        while options := sorted(islice(found, 50), key=lambda f: -sum(mine[1 + i] for i in f)):
+            for f in options:
+                taken = {0, *(1 + i for i in f)}
+                gap = room - sum(mine[i] for i in taken)
+                rest = [x for i, x in enumerate(left) if i not in taken]
+                if search(rest, [*done, [left[i] for i in sorted(taken)]], waste + gap):
+                    return True
+        if leaves[0] <= 0:
+            ended = False
+            return True
         return False
 
     if len(best) > floor:
         search(list(range(len(sizes))), [], 0)
-    return best
+    return best, ended
+
+
+def complete(sizes: list[int], room: int, nodes: int) -> list[list[int]]:
+    """The packing of solve()."""
+    return solve(sizes, room, nodes)[0]
 
 
 def pack(docs: DataFrame, capacity: int = 16384, group_chars: int = 1 << 20, nodes: int = 500, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of all documents: bin_group, bin, place (from 0 in the bin), doc_id, start and length in characters, at (offset in the bin).
 
     capacity: characters of a sequence.  group_chars: characters packed together on one worker.
-    nodes: steps of the search in a group, after which its best packing so far stands.
+    nodes: steps of the search for each hundred rests of a group, after which its best packing so far stands.
     """
     sized = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.length(F.col(text)), F.lit(0)).cast("long").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0

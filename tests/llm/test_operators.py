@@ -117,6 +117,22 @@ def test_search_beats_best_fit():
     assert better and len(packing.complete(sizes, 10, 5000)) == 3
 
 
+@pytest.mark.parametrize("seed", [0, 2])
+def test_packing_of_mid_sized_texts_goes_past_one_dive(seed):
+    r, room, sizes = random.Random(seed), 200, []
+    for _ in range(24):  # full bins of two or three
+        if r.choice((2, 3, 3)) == 2:
+            a = r.randint(room * 2 // 5, room // 2)
+            sizes += [a, room - a]
+        else:
+            a, b = r.randint(room // 4, room * 2 // 5), r.randint(room // 4, room * 2 // 5)
+            sizes += [a, b, room - a - b]
+    sizes.sort(reverse=True)
+    got = packing.complete(sizes, room, 500)
+    assert sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= room for b in got)
+    assert len(got) == 24 < len(packing.best_fit(sizes, room))
+
+
 def test_pack_odd_rows(odd):
     rows = packing.pack(odd, 1000, 5000).collect()
     assert packing.pack(odd.limit(0)).count() == 0
