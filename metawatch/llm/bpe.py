@@ -4,8 +4,8 @@ Spark splits the texts into words by the tokenizer's pattern.  The distinct word
 which each is encoded once, and every document gets its ids by joining its words with that table,
 in their order.  Where the table is no larger than ``table_bytes`` it is broadcast as hashes and ids,
 and the join is a lookup batch by batch; a larger one, or one in which two words share a hash, is
-joined by shuffle on (row, position, word).  Decoding joins ids with the pieces of the vocabulary,
-whose number is fixed by the tokenizer, and puts the pieces of a document together.
+joined by shuffle on (row, position, word).  Decoding looks ids up in a broadcast table of the pieces of the
+vocabulary, whose number is fixed by the tokenizer, and puts the pieces of a document together.
 
 Defined results: null and empty texts have no ids, and no ids decode to the empty text; ids outside
 the vocabulary, and null ones, decode to nothing; bytes that are no UTF-8 decode to U+FFFD; repeated
