@@ -88,18 +88,26 @@ def http_reason(status: int) -> str:
     return "HTTP 404: nothing there; is the path right?" if status == 404 else f"HTTP {status}"
 
 
-def collect(session: Any) -> Groups:
-    """Groups from an opened session: handshake texts and tools, then prompts, resources and templates where there are any."""
+def collect(session: Any, protocol_error: type[Exception] | tuple[type[Exception], ...] = ()) -> Groups:
+    """Groups from an opened session: handshake texts and tools, then prompts, resources and templates where there are any.
+
+    protocol_error: what the session raises for a surface that the server refuses by the protocol.  All else, such as
+    a dropped connection, is raised on and fails the server.
+    """
     out: Groups = {"tool": list(session.list_tools())}
     server = {k: x for k, x in (("instructions", session.instructions), ("serverInfo", session.server_info)) if x}
     if server:
         out["server"] = [server]
     for kind, calls in (("prompt", ("list_prompts",)), ("resource", ("list_resources", "list_resource_templates"))):
         for call in calls:
+            found = out.setdefault(kind, [])
+            listing = getattr(session, call, None)
+            if listing is None:  # a surface that a server does not offer is empty
+                continue
             try:
-                out[kind] = out.get(kind, []) + list(getattr(session, call)())
-            except Exception:  # a surface that a server does not offer is empty
-                out.setdefault(kind, [])
+                found += list(listing())
+            except protocol_error:
+                pass
     return out
 
 

@@ -108,3 +108,25 @@ def test_collect_takes_what_a_session_offers():
         list_resource_templates = staticmethod(lambda: [{"uriTemplate": "t"}])
 
     assert live.collect(Session()) == {"tool": [{"name": "a"}], "server": [{"instructions": "hi"}], "prompt": [], "resource": [{"uri": "r"}, {"uriTemplate": "t"}]}
+
+
+@pytest.mark.parametrize("call", ["list_prompts", "list_resources", "list_resource_templates"])
+def test_a_surface_that_breaks_fails_the_server(call):
+    class Refused(Exception):
+        pass
+
+    class Session:
+        instructions, server_info = None, None
+        list_tools = list_prompts = list_resources = list_resource_templates = staticmethod(lambda: [{"name": "a"}])
+
+    def rows(error):
+        def broken():
+            raise error
+
+        session = Session()
+        setattr(session, call, broken)
+        return live.fetched(config.Server("s", "stdio"), 0, lambda server, timeout: live.collect(session, Refused), 5)
+
+    for error in (ConnectionResetError("dropped"), AttributeError("broken reply")):
+        assert [(r[3], r[5]) for r in rows(error)] == [("failed", None)] and str(error) in rows(error)[0][4]
+    assert {r[3] for r in rows(Refused())} == {"scanned"} and len(rows(Refused())) == 3
