@@ -58,7 +58,8 @@ def op9_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_pairs(_documents(spark, sf_dir))
+    """Every document with its class and the number of its links."""
+    return jaccard.similar_classes(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -114,13 +115,15 @@ ORACLE_SQL: dict[str, str] = {
               UNION ALL SELECT doc_id, 'added', p FROM (SELECT * FROM b EXCEPT SELECT * FROM a))
         SELECT doc_id, side, ('0x' || substr(md5(p), 1, 15))::BIGINT AS digest FROM d WHERE p <> ''""",
     "op10_ngram_jaccard": rf"""
-        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents),
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents),
         g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
                 ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS t FROM w WHERE len(w) > 0),
         n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-        c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
-        SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard
-        FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.6""",
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.6),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT d.doc_id, least(d.doc_id, coalesce(low, d.doc_id)) AS class_id, coalesce(links, 0)::BIGINT AS links FROM documents d
+        LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) r ON r.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS links FROM e GROUP BY a) e ON e.a = d.doc_id""",
     "op8_substring_dedup": r"""
         WITH p AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS p FROM documents),
         w AS (SELECT doc_id, list_transform(p, lambda x: regexp_extract(x, '\S+')) AS w FROM p),

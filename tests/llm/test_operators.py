@@ -349,28 +349,61 @@ def slow_pairs(docs, n, limit):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= limit}
 
 
-@pytest.mark.parametrize("limit", [0.5, 0.6, 0.8])
-def test_pairs_against_all_pairs(spark, limit):
+def slow_classes(docs, n, limit):
+    """(least id that can be reached, number of partners) of each document."""
+    links = slow_pairs(docs, n, limit)
+    root, many = {d: d for d, _ in docs}, dict.fromkeys((d for d, _ in docs), 0)
+    for a, b in links:
+        many[a] += 1
+        many[b] += 1
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            moved |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    return {d: (root[d], many[d]) for d in root}
+
+
+SMALL_ROOMS = {"block": 3, "lot": 4, "hot": 4, "place": 500}
+
+
+@pytest.mark.parametrize(("limit", "sizes"), [(0.6, {}), (0.8, SMALL_ROOMS), (0.5, {"block": 2, "lot": 3, "hot": 2, "place": 300}), (0.2, {"hot": 3, "place": 1000}), (1.0, SMALL_ROOMS)])
+def test_classes_against_all_pairs(spark, limit, sizes):
     rng = random.Random(3)
     docs = []
-    for f in range(25):
-        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([1, 2, 5, 20, 60, 300, 900]))]
+    for _ in range(25):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([1, 2, 5, 20, 60, 300, 900]))]
         for _ in range(rng.choice([1, 2, 8])):
             docs.append((len(docs), " ".join(w if rng.random() > 0.06 else f"e{rng.randrange(10**6)}" for w in base)))
+    docs += [(1000 + i, docs[i % 7][1]) for i in range(20)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.similar_pairs(df, 3, limit).collect()}
-    want = slow_pairs(docs, 3, limit)
-    assert got <= want and len(got) >= 0.98 * len(want) and want
+    want = slow_classes(docs, 3, limit)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.similar_classes(df, 3, limit, **sizes).collect()}
+    assert got == want and any(n for _, n in want.values())
 
 
-def test_pairs_of_odd_rows(odd):
-    rows = jaccard.similar_pairs(odd).collect()
-    assert [(r["doc_a"], r["doc_b"], r["jaccard"]) for r in rows] == [(3, 5, 1.0)]
-    assert jaccard.similar_pairs(odd.limit(0)).count() == 0 and jaccard.one_of_each_group(odd.limit(0)).count() == 0
+def test_classes_of_odd_rows(odd, spark):
+    rows = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.similar_classes(odd).collect()}
+    assert rows == {0: (0, 0), 1: (1, 0), 2: (2, 0), 3: (3, 1), 5: (3, 1), 6: (6, 0), 7: (7, 0)}
+    assert jaccard.similar_classes(odd.limit(0)).count() == 0 and jaccard.one_of_each_group(odd.limit(0)).count() == 0
     left = jaccard.one_of_each_group(odd)
     assert left.columns == odd.columns and sorted(r["doc_id"] or -1 for r in left.collect()) == [-1, -1, 1, 2, 3, 3, 6, 7]
-    with pytest.raises(ValueError, match="0.5"):
-        jaccard.similar_pairs(odd, limit=0.3)
+    unlike = spark.createDataFrame([(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
+    assert sum(r["links"] for r in jaccard.similar_classes(unlike).collect()) == 2  # one of its two texts stands for document 1
+    for limit in (0, 1.5):
+        with pytest.raises(ValueError, match="limit"):
+            jaccard.similar_classes(odd, limit=limit)
+
+
+def test_a_group_may_have_all_documents(spark):
+    """A third of all rows in near copies of one text, and a third in copies of another."""
+    rng = random.Random(8)
+    base, other = [f"b{i}" for i in range(60)], " ".join(f"o{i}" for i in range(40))
+    docs = [(i, " ".join(w if j != i % 60 else f"x{i}" for j, w in enumerate(base))) for i in range(80)] + [(100 + i, other) for i in range(80)] + [(200 + i, " ".join(f"y{rng.randrange(9999)}" for _ in range(30))) for i in range(80)]
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.similar_classes(spark.createDataFrame(docs, "doc_id long, text string"), block=16, lot=16, hot=32, place=2000).collect()}
+    assert got == slow_classes(docs, 3, 0.6) and got[100] == (100, 79)
 
 
 def test_components(spark):
