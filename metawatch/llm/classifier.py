@@ -7,7 +7,8 @@ bounded sample of labelled documents.  The classes are the four pairs of the lab
 toxic.  As the average and the layer are linear, scoring needs one number for each bucket and class.
 
 Defined results: null and empty texts have no features and get the layer's bias alone; documents
-without a label, or with a null one, are no examples; repeated rows are scored each; with no label
+without a label, or with one that is null or neither 0 nor 1, are no examples; of several labels of a
+document the one of least class counts; repeated rows are scored each; with no label
 at all every class is as likely and all documents stay; an empty table gives no rows; further
 columns are dropped.
 """
@@ -56,16 +57,27 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def averages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's average as (offsets, buckets, weights)."""
-    off, buckets, weights = [0], [], []
-    for i in range(len(texts)):
-        _, place, w, b = features(texts.slice(i, 1))
-        much = np.bincount(place, minlength=1)[w] if len(w) else np.zeros(0)
-        u, inv = np.unique(b, return_inverse=True)
-        total = np.bincount(inv, weights=much, minlength=len(u)) if len(u) else np.zeros(0)
-        buckets.append(u)
-        weights.append(total / max(total.sum(), 1))
-        off.append(off[-1] + len(u))
-    return np.array(off), np.concatenate([*buckets, np.zeros(0, np.int64)]), np.concatenate([*weights, np.zeros(0)]).astype(np.float32)
+    size, buckets, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for b in pieces(pa.RecordBatch.from_arrays([texts], ["text"]), "text", 1 << 19, 256):
+        woff, place, w, feature = features(b.column(0))
+        n = b.num_rows
+        if not len(w):
+            size.append(np.zeros(n, np.int64))
+            continue
+        unlike = int(place.max()) + 1
+        pair, much = np.unique(np.repeat(np.arange(n), np.diff(woff)) * unlike + place, return_counts=True)  # (text, word) and how often
+        order = np.argsort(w, kind="stable")
+        feature, many = feature[order], np.bincount(w, minlength=unlike)
+        begin = np.cumsum(many) - many
+        k = many[pair % unlike]
+        at = np.repeat(begin[pair % unlike] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        code, of = np.unique(np.repeat(pair // unlike, k) * BUCKETS + feature[at], return_inverse=True)
+        total = np.bincount(of, weights=np.repeat(much, k))
+        text = code // BUCKETS
+        buckets.append(code % BUCKETS)
+        weights.append(total / np.bincount(text, weights=total, minlength=n)[text])
+        size.append(np.bincount(text, minlength=n))
+    return np.concatenate([[0], np.cumsum(np.concatenate(size))]), np.concatenate(buckets), np.concatenate(weights).astype(np.float32)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -120,9 +132,10 @@ def score(texts: pa.Array, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> tuple[np.ndarray, np.ndarray]:
     """The model; train_rows: about how many labelled documents it is fitted on, those of least hashed id (all, if there are fewer)."""
-    known = labels.filter("quality is not null and toxic is not null and doc_id is not null").select("doc_id", (2 * F.col("quality") + F.col("toxic")).cast("int").alias("class"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "class").toArrow()
+    known = labels.filter("quality in (0, 1) and toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min(2 * F.col("quality") + F.col("toxic")).cast("int").alias("class"))
+    order = (F.xxhash64("doc_id"), "doc_id")
+    chosen = known.orderBy(*order).limit(train_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(*order, F.xxhash64("text")).limit(train_rows).select("text", "class").toArrow()
     if not rows.num_rows:
         return np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
     return train(strings(rows.column("text")), rows.column("class").to_numpy())

@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, written
+from .shared import bounded_batches, fresh, written
 from .textarrays import ALNUM, U, hash_grams, hash_spans, mix, pieces, raw, strings, texts_of, words
 
 #: Counters of the frequency table, and how many go into one row of it.
@@ -594,5 +594,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, n: int = 3, limit: float = 0.6) -> DataFrame:
     """The rows of docs but for those whose document has a lower id in its class of similar_classes(); rows without an id stay."""
-    drop = similar_classes(docs, n, limit).filter("class_id < doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(drop, docs["doc_id"] == drop["__gone"], "left_anti")
+    (gone,) = fresh(docs, "gone")
+    drop = similar_classes(docs, n, limit).filter("class_id < doc_id").select(F.col("doc_id").alias(gone))
+    return docs.join(drop, docs["doc_id"] == drop[gone], "left_anti")

@@ -26,6 +26,8 @@ from .shared import bounded_batches
 from .textarrays import U, pieces, raw, strings, texts_of
 
 PLACES = 4096
+#: Texts whose dense vectors are held at once, at most.
+ROWS = 256
 _LETTER = np.full(256, 32, np.uint64)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
@@ -56,7 +58,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(PLACES, np.int64)
         for big in batches:
-            for b in pieces(big, "text"):
+            for b in pieces(big, "text", rows=ROWS):
                 df += (trigram_counts(b.column(0)) > 0).sum(0)
                 n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, PLACES)), pa.array(np.concatenate([[n], df]))], ["place", "n"])
@@ -98,8 +100,13 @@ def fit(docs: DataFrame, rows_per_language: int = 600, clusters: int = 4) -> tup
     """
     n, df = document_frequencies(docs)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = docs.filter("lang is not null").select("lang", "text", F.row_number().over(first).alias("n")).filter(f"n <= {rows_per_language}").drop("n").toArrow()
+    order = (F.xxhash64("doc_id"), "doc_id")
+    known = docs.filter("lang is not null")
+    ranked = lambda d, *o: d.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*o))).filter(f"n <= {rows_per_language}").drop("n")
+    # ids are ranked without their texts; the texts of the chosen are few, but where one id has very many rows
+    chosen = ranked(known.select("lang", "doc_id"), *order).distinct().select(F.col("lang").alias("l"), F.col("doc_id").alias("d"))
+    texts_ = known.join(chosen, F.col("lang").eqNullSafe(F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("lang", "doc_id", "text")
+    sample = ranked(texts_, *order, F.xxhash64("text")).select("lang", "text").toArrow()
     langs = np.array(sample.column("lang").to_pylist(), dtype=object)
     texts = strings(sample.column("text"))
     centres, names = [np.zeros((0, PLACES), np.float32)], []
@@ -134,7 +141,7 @@ def identify(docs: DataFrame, rows_per_language: int = 600, clusters: int = 4, f
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in pieces(big, "text"):
+            for b in pieces(big, "text", rows=ROWS):
                 said, sim, keep = judge(b.column(1), model.value, floor, full)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array(sim), pa.array(keep)], ["doc_id", "language", "similarity", "keep"])
 
@@ -149,6 +156,6 @@ def accepted(docs: DataFrame, rows_per_language: int = 600, clusters: int = 4, f
     def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
             b = pa.RecordBatch.from_arrays([text], ["text"])
-            yield pa.array(np.concatenate([judge(x.column(0), model.value, floor, full)[2] for x in pieces(b, "text")] or [np.zeros(0, bool)]))
+            yield pa.array(np.concatenate([judge(x.column(0), model.value, floor, full)[2] for x in pieces(b, "text", rows=ROWS)] or [np.zeros(0, bool)]))
 
     return docs.filter(F.arrow_udf(keep, "boolean")(F.col("text")))

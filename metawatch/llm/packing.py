@@ -8,7 +8,7 @@ every undominated set of others, least waste first, and cuts off what cannot bea
 
 Defined results: null and empty texts take no room and have no piece; repeated rows are packed
 as often as they come; documents of one length are taken in the order of their ids; an empty
-table gives no rows; further columns are not looked at.
+table gives no rows; further columns are not looked at, whatever their names; ids may be of any type, and null.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,8 +154,15 @@ def complete(sizes: list[int], room: int, nodes: int) -> list[list[int]]:
     return solve(sizes, room, nodes)[0]
 
 
+def _sortable(kind: pa.DataType) -> bool:
+    return not pa.types.is_nested(kind)
+
+
 def pack(docs: DataFrame, capacity: int = 16384, group_chars: int = 1 << 20, nodes: int = 500, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Pieces of all documents: bin_group, bin, place (from 0 in the bin), doc_id, start and length in characters, at (offset in the bin).
+    """Pieces of all documents: bin_group, bin, place (from 0 in the bin), doc_id, start and length in characters, at (offset in the bin), proven.
+
+    proven: whether no packing of the group has fewer sequences; false where the search ended on its budget, so that it
+    may be (it is never worse than best fit).
 
     capacity: characters of a sequence.  group_chars: characters packed together on one worker.
     nodes: steps of the search for each hundred rests of a group, after which its best packing so far stands.
@@ -165,27 +172,28 @@ def pack(docs: DataFrame, capacity: int = 16384, group_chars: int = 1 << 20, nod
     groups = max(1, -(-total // group_chars))
     sized = sized.filter("n > 0").withColumn("bin_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable")
-        ids = rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None).tolist()
-        lengths = rows["n"].tolist()
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("n", "descending"), ("doc_id", "ascending")]) if _sortable(rows.schema.field("doc_id").type) else rows.sort_by([("n", "descending")])
+        lengths = rows.column("n").to_pylist()
         out, b = [], 0
-        for d, n in zip(ids, lengths):
+        for i, n in enumerate(lengths):
             for start in range(0, n - capacity + 1, capacity):
-                out.append((b, 0, d, start, capacity, 0))
+                out.append((b, 0, i, start, capacity, 0))
                 b += 1
         rests = sorted(((-(n % capacity), i) for i, n in enumerate(lengths) if n % capacity))
-        for chosen in complete([-s for s, _ in rests], capacity, nodes):
+        bins, proven = solve([-s for s, _ in rests], capacity, nodes)
+        for chosen in bins:
             at = 0
             for place, j in enumerate(chosen):
                 size, i = -rests[j][0], rests[j][1]
-                out.append((b, place, ids[i], lengths[i] - size, size, at))
+                out.append((b, place, i, lengths[i] - size, size, at))
                 at += size
             b += 1
-        done = pd.DataFrame(out, columns=["bin", "place", "doc_id", "start", "length", "at"])
-        done.insert(0, "bin_group", rows["bin_group"].iloc[0])
-        done["doc_id"] = done["doc_id"].astype("Int64")
-        return done
-
-    kind = "bin_group long, bin long, place long, doc_id long, start long, length long, at long"
-    return sized.groupBy("bin_group").applyInPandas(one, kind)
+        bin_, place, row, start, length, at_ = (pa.array(c, pa.int64()) for c in zip(*out))
+        m = len(out)
+        group = pa.array([rows.column("bin_group")[0].as_py()] * m, pa.int64())
+        ids = rows.column("doc_id").take(row)  # never through numbers of another kind
+        return pa.Table.from_arrays([group, bin_, place, ids, start, length, at_, pa.array([proven] * m)], names=["bin_group", "bin", "place", "doc_id", "start", "length", "at", "proven"])
+
+    kind = f"bin_group long, bin long, place long, doc_id {docs.schema[key].dataType.simpleString()}, start long, length long, at long, proven boolean"
+    return sized.groupBy("bin_group").applyInArrow(one, kind)

@@ -91,16 +91,42 @@ def references(docs: DataFrame, common: int = 64) -> dict[str | None, tuple[list
     bounded_batches(docs.sparkSession)
     shape = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
     counted = docs.select("text", "lang").mapInArrow(part, "lang string, kind int, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
-    ranked = counted.withColumn("rank", F.row_number().over(top)).withColumn("all", F.sum("n").over(Window.partitionBy("lang", "kind")))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a partition's words the most common of each language (kind -1) and the number of all (-2); classes as they are."""
+        most: dict[str | None, list] = {}
+        total: dict[str | None, int] = {}
+        for b in batches:
+            b = b.select(["lang", "kind", "word", "n"])
+            own = b.column("kind").to_numpy() >= 0
+            if own.any():
+                yield b.filter(pa.array(own))
+            words_ = b.filter(pa.array(~own))
+            for lang in words_.column("lang").unique().to_pylist():
+                same = pc.is_null(words_.column("lang")) if lang is None else pc.equal(words_.column("lang"), lang)
+                mine = words_.filter(same)
+                total[lang] = total.get(lang, 0) + pc.sum(mine.column("n")).as_py()
+                n = mine.column("n").to_numpy()
+                if len(n) > common:
+                    mine = mine.filter(pa.array(n >= np.partition(n, -common)[-common]))
+                most[lang] = sorted(most.get(lang, []) + [(-n, w) for n, w in zip(mine.column("n").to_pylist(), mine.column("word").to_pylist())], key=lambda x: (x[0], x[1].encode()))[:common]
+        for lang, found in most.items():
+            rows = [(-1, w, -n) for n, w in found] + [(-2, "", total[lang])]
+            kind, word, n = zip(*rows)
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(rows), "kind": kind, "word": word, "n": n}, schema=shape)
+
+    # no task sees a language's whole vocabulary: partitions give their best, and only those are ranked
+    few = counted.mapInArrow(best, "lang string, kind int, word string, n long").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")))
+    few = few.filter(f"kind <> -1 or rank <= {common}").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"), F.min("rank").alias("rank"))
     out: dict = {}
-    for r in ranked.filter(f"kind >= 0 or rank <= {common}").collect():
-        chars, most, _ = out.setdefault(r["lang"], ([0] * CLASSES, [], [0]))
+    for r in few.collect():
+        chars, most, all_ = out.setdefault(r["lang"], ([0] * CLASSES, [], [0]))
         if r["kind"] >= 0:
             chars[r["kind"]] = r["n"]
-        else:
+        elif r["kind"] == -1:
             most.append((r["rank"], r["word"], r["n"]))
-            out[r["lang"]][2][0] = r["all"]
+        else:
+            all_[0] = r["n"]
     return {k: (c, [(w, n) for _, w, n in sorted(m)], a[0]) for k, (c, m, a) in out.items()}
 
 

@@ -8,7 +8,7 @@ the documents are exchanged once, straight to their shard, and sorted there.
 
 Defined results: a null key part sorts first; a null text weighs 0 bytes; rows with one key
 stay in one shard, ordered by text; an empty table gives no rows; columns of the input called
-shard or pos are replaced.
+shard or pos are replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
+from .shared import fresh, written
 
 _KEY, _BYTES, _SHARD = "__key", "__bytes", "__shard"
 
@@ -148,8 +148,9 @@ def histogram_sort(
     def shard_of(key: pd.Series) -> pd.Series:
         return pd.Series([bisect_left(cuts, k) for k in key], dtype="int32")
 
-    rows = docs.drop("shard", "pos").withColumn(_KEY, order_key(docs, list(keys)))
-    rows = rows.withColumn(_SHARD, shard_of(F.col(_KEY)))
-    placed = rows.repartitionById(shards, F.col(_SHARD)).sortWithinPartitions(_SHARD, _KEY, text)
-    by = Window.partitionBy(_SHARD).orderBy(_KEY, text)
-    return placed.withColumn("pos", F.row_number().over(by) - 1).withColumnRenamed(_SHARD, "shard").drop(_KEY)
+    key, at = fresh(docs, _KEY, _SHARD)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "pos")]
+    rows = docs.withColumn(key, order_key(docs, list(keys))).withColumn(at, shard_of(F.col(key)))
+    placed = rows.repartitionById(shards, F.col(at)).sortWithinPartitions(at, key, text)
+    by = Window.partitionBy(at).orderBy(key, text)
+    return placed.select(*kept, F.col(at).alias("shard"), (F.row_number().over(by) - 1).alias("pos"))

@@ -2,7 +2,7 @@
 
 Lineage is cut by writing a table to the folder named in ``spark.checkpoint.dir`` and
 reading it back, so a lost executor costs a re-read and never a recomputation of all that
-went before.  Only where the setting is absent (tests on one machine) a temporary folder
+went before.  Only where the setting is absent and the master is local (tests) a temporary folder
 is made.
 """
 
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="metawatch-")
@@ -37,6 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where df has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Lower the session's limit on the bytes of an Arrow batch, where it is higher.
 

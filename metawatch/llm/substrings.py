@@ -15,24 +15,40 @@ white space after each.
 
 Defined results: a null text stays null and an empty one empty; a document all of whose words repeat
 keeps only the white space before its first word; repeats inside one document stay; rows that share an
-id are one document in the search, with the text first in byte order, and keep their text; rows without
-an id are not searched and keep theirs; an empty table gives no rows.
+id are cut each by what documents of lower ids have, never by one another; rows without an id are not searched
+and keep their text; an empty table gives no rows; further columns stay, whatever their names, but for
+cut_words, which is replaced.  Ids are whole numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, written
+from .shared import bounded_batches, fresh, written
 from .textarrays import SPACED, hash_grams, hash_spans, mix, pieces, powers, raw, runs, strings, texts_of, words
 
 #: Words of the first occurrence that go to one shard together.
 BLOCK = 256
+#: Shared fingerprints of a place that are looked into in one go, about.
+LOT = 100_000
+
+
+class Names(NamedTuple):
+    """Columns that are added to the input, under names it does not have."""
+
+    id: str
+    mark: str
+    doc: str
+    of: str
+    spots: str
+    spans: str
+    done: str
 
 
 def winnow(h: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -58,7 +74,7 @@ def winnow(h: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.n
 
 
 def _fingerprints(docs: DataFrame, least: int) -> DataFrame:
-    """(fp, doc, pos, near): pos in words; near: hash of all words that a passage around the fingerprint can hold."""
+    """(fp, doc, mark, pos, near): pos in words; near: hash of all words that a passage around the fingerprint can hold; mark: tells texts of one id apart."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -71,9 +87,9 @@ def _fingerprints(docs: DataFrame, least: int) -> DataFrame:
                 lo, hi = np.maximum(at - (least - k), woff[doc]), np.minimum(at + least, woff[doc + 1])
                 near = mix(hash_spans_of(h, lo, hi) ^ mix((at - lo).astype(np.uint64)))
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.astype(np.int64)), pa.array(ids[doc]), pa.array((at - woff[doc]).astype(np.int32)), pa.array(near.astype(np.int64))], ["fp", "doc", "pos", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp.astype(np.int64)), pa.array(ids[doc]), b.column(2).take(pa.array(doc)), pa.array((at - woff[doc]).astype(np.int32)), pa.array(near.astype(np.int64))], ["fp", "doc", "mark", "pos", "near"])
 
-    return docs.mapInArrow(part, "fp long, doc long, pos int, near long")
+    return docs.mapInArrow(part, "fp long, doc long, mark long, pos int, near long")
 
 
 def hash_spans_of(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -85,11 +101,11 @@ def hash_spans_of(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
 
 
 def _shared(prints: DataFrame) -> DataFrame:
-    """(doc, pos, home, place, first): fingerprints that several documents have; home and place: where the lowest has it; first: no lower document has the same neighbourhood."""
+    """(doc, mark, pos, home, block, first): fingerprints that several documents have; home and place: where the lowest has it; first: no lower document has the same neighbourhood."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "fp"):
-            fp, doc, pos, near = (t.column(c).to_numpy() for c in ("fp", "doc", "pos", "near"))
+            fp, doc, mark, pos, near = (t.column(c).to_numpy() for c in ("fp", "doc", "mark", "pos", "near"))
             head = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
             n = np.diff(np.append(head, len(fp)))
             row = np.repeat(np.arange(len(head)), n)
@@ -100,10 +116,10 @@ def _shared(prints: DataFrame) -> DataFrame:
             first = np.zeros(len(fp), bool)
             first[order[new]] = True
             s = several
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(pos[s]), pa.array(home[s]), pa.array(place[s] // BLOCK), pa.array(first[s])], ["doc", "pos", "home", "block", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(mark[s]), pa.array(pos[s]), pa.array(home[s]), pa.array(place[s] // BLOCK), pa.array(first[s])], ["doc", "mark", "pos", "home", "block", "first"])
 
     sorted_ = prints.repartition("fp").sortWithinPartitions("fp", "doc", "pos")
-    return sorted_.mapInArrow(part, "doc long, pos int, home long, block int, first boolean")
+    return sorted_.mapInArrow(part, "doc long, mark long, pos int, home long, block int, first boolean")
 
 
 class SuffixAutomaton:
@@ -203,53 +219,62 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _neighbourhoods(base: DataFrame, shared: DataFrame, least: int, shards: int) -> DataFrame:
-    """(home, block, doc, start, ref, words, shard): the stretches of text around shared fingerprints."""
+def _neighbourhoods(base: DataFrame, at: Names, shared: DataFrame, least: int, shards: int) -> DataFrame:
+    """(home, block, doc, mark, start, ref, words, shard, lot): the stretches of text around shared fingerprints.
+
+    A place where very many documents meet has its queries dealt to several lots, with the reference text in each.
+    """
     k = (least + 1) // 2
-    spots = shared.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("home", "block", "pos", "first")).alias("__spots"))
+    hot = shared.groupBy("home", "block").count().filter(F.col("count") > LOT).select("home", "block", F.ceil(F.col("count") / LOT).alias("lots"))
+    dealt = shared.join(hot, ["home", "block"], "left")
+    spots = dealt.groupBy(F.col("doc").alias(at.doc), F.col("mark").alias(at.of)).agg(F.collect_list(F.struct("home", "block", "pos", "first", F.coalesce("lots", F.lit(1).cast("long")).alias("lots"))).alias(at.spots))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            big = big.filter(big.column("__spots").is_valid())
+            big = big.select([text_at, doc_at, of_at, spots_at]).rename_columns(["text", "doc", "mark", "spots"])
+            big = big.filter(big.column("spots").is_valid())
             for b in pieces(big, "text"):
                 data, off = raw(strings(b.column("text")))
                 starts, ends, woff = words(data, off, SPACED)
                 blob = data.tobytes()
                 out: list[tuple] = []
-                for i, (doc, spots_) in enumerate(zip(b.column("__doc").to_pylist(), b.column("__spots").to_pylist())):
+                for i, (doc, mark, spots_) in enumerate(zip(b.column("doc").to_pylist(), b.column("mark").to_pylist(), b.column("spots").to_pylist())):
                     kinds: dict[tuple, list] = {}
                     size = int(woff[i + 1] - woff[i])
                     for x in spots_:
                         span = (max(x["pos"] - (least - k), 0), min(x["pos"] + least, size))
-                        kinds.setdefault((x["home"], x["block"], False), []).append(span)
+                        kinds.setdefault((x["home"], x["block"], x["lots"], False), []).append(span)
                         if x["first"]:
-                            kinds.setdefault((x["home"], x["block"], True), []).append(span)
-                    for (home, block, ref), spans in kinds.items():
+                            kinds.setdefault((x["home"], x["block"], x["lots"], True), []).append(span)
+                    for (home, block, lots, ref), spans in kinds.items():
                         for lo, hi in _merged(spans):
                             a, z = starts[woff[i] + lo], ends[woff[i] + hi - 1]
-                            out.append((home, block, doc, lo, ref, blob[a:z].decode()))
-                cols = list(zip(*out)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.string()))], ["home", "block", "doc", "start", "ref", "words"])
+                            text = blob[a:z].decode()
+                            out += [(home, block, doc, mark, lo, ref, text, lot) for lot in (range(lots) if ref else (doc % lots,))]
+                cols = list(zip(*out)) or [[]] * 8
+                kinds_ = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_)], ["home", "block", "doc", "mark", "start", "ref", "words", "lot"])
 
     # a left join over all columns, so that this plan's exchange of base is the one that remove_repeats() reads again
-    joined = base.join(spots, base["doc_id"] == spots["__doc"], "left")
-    return joined.mapInArrow(part, "home long, block int, doc long, start int, ref boolean, words string").withColumn("shard", F.pmod(F.xxhash64("home", "block"), F.lit(shards)))
+    joined = base.join(spots, (base[at.id] == spots[at.doc]) & (base[at.mark] == spots[at.of]), "left")
+    text_at, doc_at, of_at, spots_at = (joined.columns.index(c) for c in ("text", at.doc, at.of, at.spots))
+    return joined.mapInArrow(part, "home long, block int, doc long, mark long, start int, ref boolean, words string, lot long").withColumn("shard", F.pmod(F.xxhash64("home", "block"), F.lit(shards)))
 
 
 def _matches(near: DataFrame, least: int, most_words: int) -> DataFrame:
-    """(doc, start, end) in words: what a document shares with lower ones, from the automata of its shards."""
+    """(doc, mark, start, end) in words: what a document shares with lower ones, from the automata of its shards."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "shard", 2000):
-            shard = t.column("shard").to_numpy()
-            heads = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
-            out: list[tuple[int, int, int]] = []
+            shard, lot = t.column("shard").to_numpy(), t.column("lot").to_numpy()
+            heads = np.append(np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (lot[1:] != lot[:-1])])), len(shard))
+            out: list[tuple[int, int, int, int]] = []
             for a, b in zip(heads[:-1], heads[1:]):
                 rows = t.slice(a, b - a)
                 ids: dict[bytes, int] = {}
                 text = [[ids.setdefault(w, len(ids)) for w in x.encode().split()] for x in rows.column("words").to_pylist()]
                 key = list(zip(rows.column("home").to_pylist(), rows.column("block").to_pylist()))
-                doc, start, ref = (rows.column(c).to_pylist() for c in ("doc", "start", "ref"))
+                doc, mark, start, ref = (rows.column(c).to_pylist() for c in ("doc", "mark", "start", "ref"))
                 refs = [i for i, r in enumerate(ref) if r]
                 at = 0
                 while at < len(refs):
@@ -263,24 +288,25 @@ def _matches(near: DataFrame, least: int, most_words: int) -> DataFrame:
                     made.finish()
                     for i, r in enumerate(ref):
                         if not r and key[i] in homes:
-                            out += [(doc[i], start[i] + x, start[i] + y) for x, y in made.covered(text[i], doc[i], least)]
-            cols = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["doc", "start", "end"])
+                            out += [(doc[i], mark[i], start[i] + x, start[i] + y) for x, y in made.covered(text[i], doc[i], least)]
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "mark", "start", "end"])
 
-    return near.repartition("shard").sortWithinPartitions("shard", "home", "block", "doc", "start").mapInArrow(part, "doc long, start int, end int")
+    placed = near.repartition("shard", "lot").sortWithinPartitions("shard", "lot", "home", "block", "doc", "mark", "start")
+    return placed.mapInArrow(part, "doc long, mark long, start int, end int")
 
 
-def repeated_spans(base: DataFrame, docs: DataFrame, least: int = 50, shard_words: int = 20_000) -> DataFrame:
-    """(__doc, __spans: of the words that go, as pairs of first word and the one after the last), only documents that have some.
+def repeated_spans(base: DataFrame, at: Names, least: int = 50, shard_words: int = 20_000) -> DataFrame:
+    """(at.doc, at.of, at.spans: of the words that go, as pairs of first word and the one after the last), only documents that have some.
 
-    base: the rows of docs, placed by doc_id.  shard_words: of reference text in a shard, about, and the most that one automaton takes in.
+    base: the rows, with an id and a mark.  shard_words: of reference text in a shard, about, and the most that one automaton takes in.
     """
-    one = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    one = base.filter(F.col(at.id).isNotNull()).select(F.col(at.id).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.col(at.mark).alias("mark"))
     shared = written(_shared(_fingerprints(one, least)), "shared-prints")
     size = shared.filter("first").count() * (least // 2)
-    near = _neighbourhoods(base, shared, least, max(1, -(-size // shard_words)))
+    near = _neighbourhoods(base.repartition(at.id, at.mark), at, shared, least, max(1, -(-size // shard_words)))
     spans = _matches(near, least, shard_words)
-    return spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    return spans.groupBy(F.col("doc").alias(at.doc), F.col("mark").alias(at.of)).agg(F.collect_list(F.struct("start", "end")).alias(at.spans))
 
 
 def _cut(text: str, spans: list) -> tuple[str, int]:
@@ -302,8 +328,12 @@ def remove_repeats(docs: DataFrame, least: int = 50, shard_words: int = 20_000)
     least: words of the shortest passage that goes.  shard_words: as in repeated_spans().
     """
     bounded_batches(docs.sparkSession)
-    base = docs.drop("cut_words").repartition("doc_id")
-    spans = repeated_spans(base, docs, least, shard_words)
+    kept = [c for c in docs.columns if c.lower() != "cut_words"]
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    at = Names(*fresh(docs, "id", "mark", "doc", "of", "spots", "spans", "done"))
+    marked = docs.withColumn(at.id, F.col("doc_id").cast("long")).withColumn(at.mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    spans = repeated_spans(marked, at, least, shard_words)
+    base = marked.repartition(at.id, at.mark)
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, found in batches:
@@ -311,7 +341,6 @@ def remove_repeats(docs: DataFrame, least: int = 50, shard_words: int = 20_000)
             yield pa.StructArray.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int32())], ["text", "n"])
 
     cutter = F.arrow_udf(cut, "text string, n int")
-    kept = base.columns
-    joined = base.join(spans, base["doc_id"] == spans["__doc"], "left")
-    done = joined.withColumn("__done", F.when(F.col("__spans").isNull(), F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))).otherwise(cutter(F.col("text"), F.col("__spans"))))
-    return done.select(*[F.col("__done.text").alias("text") if c == "text" else F.col(c) for c in kept], F.col("__done.n").alias("cut_words"))
+    joined = base.join(spans, (base[at.id] == spans[at.doc]) & (base[at.mark] == spans[at.of]), "left")
+    done = joined.withColumn(at.done, F.when(F.col(at.spans).isNull(), F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))).otherwise(cutter(F.col("text"), F.col(at.spans))))
+    return done.select(*[F.col(f"{at.done}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], F.col(f"{at.done}.n").alias("cut_words"))

@@ -63,12 +63,12 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``limit`` bytes of text, one row at least, so that memory stays bounded."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes of text and ``rows`` rows at most, one row at least, so that memory stays bounded."""
     _, off = raw(strings(batch.column(column)))
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1), i + rows)
         yield batch.slice(i, j - i)
         i = j
 

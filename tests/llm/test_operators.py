@@ -64,6 +64,9 @@ def test_sort_odd_rows(odd):
     order = [(r["source"] or "", r["doc_id"] if r["doc_id"] is not None else -1) for r in sorted(rows, key=lambda r: (r["shard"], r["pos"]))]
     assert order == sorted(order)
     assert sharding.histogram_sort(odd.limit(0)).count() == 0
+    clash = odd.withColumn("__key", F.lit(7)).withColumn("__shard", F.lit(8)).withColumn("__bytes", F.lit(9))
+    got = sharding.histogram_sort(clash, least_shards=3)
+    assert {"__key", "__shard", "__bytes"} <= set(got.columns) and {(r["__key"], r["__shard"], r["__bytes"]) for r in got.collect()} == {(7, 8, 9)}
 
 
 @pytest.mark.parametrize("tolerance", [0.0, 0.05])
@@ -148,9 +151,25 @@ def test_pack_odd_rows(odd):
     assert all(sum(n for _, n in b) <= 1000 and all(x[0] + x[1] == y[0] for x, y in itertools.pairwise(sorted(b))) for b in bins.values())
 
 
+def test_packing_keeps_ids_as_they_are_and_says_what_is_proven(spark):
+    big = 1152921504606846977
+    rows = packing.pack(spark.createDataFrame([(big, "a" * 30), (None, "b" * 40), (big, None)], "doc_id long, text string"), 100).collect()
+    assert sorted((r["doc_id"] or 0, r["length"], r["proven"]) for r in rows) == [(0, 40, True), (big, 30, True)]
+    words = packing.pack(spark.createDataFrame([("x", "a" * 250, 1)], "doc_id string, text string, bin int"), 100).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"]) for r in words) == [("x", 0, 100), ("x", 100, 100), ("x", 200, 50)]
+    mid = spark.createDataFrame([(i, "a" * n) for i, n in enumerate([51, 27, 26, 23, 24, 25, 49, 33, 34, 41, 42, 17, 19] * 4)], "doc_id long, text string")
+    assert not all(r["proven"] for r in packing.pack(mid, 100, 10**6, 0).collect())
+
+
 # 3 quality rules
 
 
+def test_quality_takes_words_of_one_count_in_byte_order(spark):
+    text = " ".join(f"{w} {w}" for w in ("bb", "aa", "é", "zz")) + " cc cc cc"
+    refs = quality.references(spark.createDataFrame([(text, "en"), ("q q", None)] * 2, "text string, lang string").repartition(3), 3)
+    assert refs["en"][1:] == ([("cc", 6), ("aa", 4), ("bb", 4)], 22) and refs[None][1:] == ([("q", 4)], 4)
+
+
 def test_quality_of_odd_rows(odd, spark):
     rows = {r["doc_id"]: r for r in quality.divergence_rules(odd).collect()}
     assert len(rows) == 8 and rows[0]["keep"] and rows[1]["keep"] and (rows[3]["char_js"], rows[3]["word_js"]) == (0, 0)
@@ -208,6 +227,34 @@ def test_classifier_odd_rows(odd, spark):
     assert all(r["keep"] for r in classifier.classify(odd, labels.limit(0)).collect()) and classifier.classify(odd.limit(0), labels).count() == 0
 
 
+def test_classifier_takes_labels_that_are_none(spark):
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 5, 0), (1, -1, 1), (2, 1, 7), (3, 1, 0), (3, 0, 0), (4, None, None)], "doc_id long, quality int, toxic int")
+    assert classifier.classify(docs, labels).count() == 6 and classifier.classify(docs, labels.filter("quality = 5")).filter("keep").count() == 6
+
+
+def test_averages_are_those_of_counting():
+    rng = random.Random(4)
+    texts = pa.array([" ".join(rng.choice(["one", "two", "three", "é%"]) for _ in range(rng.randint(0, 30))) for _ in range(700)] + [None, ""])
+    off, b, w = classifier.averages(texts)
+    assert len(off) == len(texts) + 1
+    for i in (0, 5, 300, 699, 700, 701):
+        woff, place, of, feature = classifier.features(texts.slice(i, 1))
+        want = {}
+        for p in place.tolist():
+            for f in feature[of == p].tolist():
+                want[f] = want.get(f, 0) + 1
+        total = sum(want.values())
+        got = dict(zip(b[off[i] : off[i + 1]].tolist(), w[off[i] : off[i + 1]].tolist()))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k] / total) < 1e-6 for k in want)
+
+
+def test_training_separates_what_can_be():
+    texts = pa.array([f"good {i}" for i in range(60)] + [f"vile {i}" for i in range(60)])
+    table, bias = classifier.train(texts, np.array([2] * 60 + [1] * 60))
+    assert (classifier.score(texts, table, bias).argmax(1) == [2] * 60 + [1] * 60).all()
+
+
 def test_fast_score_is_that_of_the_averages():
     rng = np.random.default_rng(0)
     table, bias = rng.normal(size=(classifier.BUCKETS, 4)), rng.normal(size=4)
@@ -224,6 +271,38 @@ def test_language_on_held_out_documents(spark):
     assert len(held) > 500 and np.mean([r["language"] == r["lang"] for r in held if r["keep"]]) > 0.97 and np.mean([r["keep"] for r in held]) > 0.95
 
 
+def test_language_against_slow_cosines(spark):
+    docs, _ = labelled(spark)
+    docs = docs.limit(200)
+    idf, centres, names = langid.fit(docs, 20, 2)
+    slow = {}
+    for r in docs.collect():
+        counts = {}
+        data = "".join(c for c in (r["text"] or "").lower()).encode()
+        c = [x if 97 <= x <= 122 or x >= 128 else 32 for x in data]
+        for i in range(len(c) - 2):
+            if c[i + 1] != 32 and (c[i] != 32 or c[i + 2] != 32):
+                code = (c[i] << 16) | (c[i + 1] << 8) | c[i + 2]
+                at = (code * 0x9E3779B97F4A7C15 % (1 << 64)) >> 52
+                counts[at] = counts.get(at, 0) + 1
+        v = np.zeros(langid.PLACES)
+        for k, n in counts.items():
+            v[k] = np.log1p(n) * idf[k]
+        cos = centres @ v / max(np.linalg.norm(v), 1e-9)
+        slow[r["doc_id"]] = (names[int(cos.argmax())], float(cos.max()), sum(counts.values()))
+    got = {r["doc_id"]: r for r in langid.identify(docs, 20, 2).collect()}
+    for d, (lang, cos, n) in slow.items():
+        assert abs(got[d]["similarity"] - cos) < 2e-4
+        if got[d]["keep"]:
+            assert got[d]["language"] == lang
+        assert got[d]["keep"] == (n > 0 and round(cos, 4) >= langid.limit(np.array([n]), 0.4, 400)[0]) or abs(cos - langid.limit(np.array([n]), 0.4, 400)[0]) < 2e-4
+
+
+def test_language_of_ties_and_of_one_id(spark):
+    same = spark.createDataFrame([(i, "the very same words here", lang) for i, lang in enumerate("ba" * 4)] + [(99, "the very same words here", "a")] * 50, "doc_id long, text string, lang string")
+    assert {r["language"] for r in langid.identify(same, 4).collect()} == {"a"}
+
+
 def test_language_rejects_what_is_none(spark):
     docs, _ = labelled(spark)
     odd = spark.createDataFrame([(-1, "zq xj vk " * 200, None), (-2, "1234 5678 " * 50, None), (-3, None, None)], "doc_id long, text string, lang string")
@@ -240,23 +319,31 @@ def test_language_odd_rows(odd):
 # 7 BPE
 
 
-@pytest.mark.parametrize("table_bytes", [128 << 20, 0])
-def test_bpe_is_that_of_the_library_and_turns_back(odd, spark, table_bytes):
+@pytest.mark.parametrize("block_bytes", [16 << 20, 20_000])
+def test_bpe_is_that_of_the_library_and_turns_back(odd, spark, block_bytes):
     import tiktoken
 
     own = tiktoken.Encoding("own", pat_str=bpe.PATTERN.replace("(?U)", ""), mergeable_ranks=bpe.load_ranks(VOCABULARY), special_tokens={})
     texts = spark.createDataFrame([(20, "It's  two  x y \r\n\n 12a ́e"), (21, "'LL's " * 50)], "doc_id long, text string")
     docs = odd.select("doc_id", "text").unionByName(texts)
-    rows = bpe.decode(bpe.encode(docs.withColumn("was", F.col("text")), VOCABULARY, ("doc_id", "was"), table_bytes), VOCABULARY, ("was", "ids")).collect()
+    rows = bpe.decode(bpe.encode(docs.withColumn("was", F.col("text")), VOCABULARY, ("doc_id", "was"), block_bytes), VOCABULARY, ("was", "ids")).collect()
     assert len(rows) == len(ODD) + 2
     for r in rows:
         assert r["text"] == (r["was"] or "") and r["ids"] == own.encode_ordinary(r["was"] or "")
-    assert bpe.encode(docs.limit(0), VOCABULARY, table_bytes=table_bytes).count() == 0
+    assert bpe.encode(docs.limit(0), VOCABULARY, block_bytes=block_bytes).count() == 0
 
 
 def test_bpe_decodes_odd_ids(spark):
-    rows = spark.createDataFrame([(1, [10**6, None, -3, 257]), (2, None), (3, [])], "doc_id int, ids array<int>")
-    assert [r["text"] for r in bpe.decode(rows, VOCABULARY).orderBy("doc_id").collect()][1:] == ["", ""]
+    pieces = {i: x for x, i in bpe.load_ranks(VOCABULARY).items()}
+    rows = spark.createDataFrame([(1, [10**6, None, -3, 257, 50, max(pieces) + 1]), (2, None), (3, [])], "doc_id int, ids array<int>")
+    assert [r["text"] for r in bpe.decode(rows, VOCABULARY).orderBy("doc_id").collect()] == [(pieces[257] + pieces[50]).decode("utf-8", "replace"), "", ""]
+
+
+def test_bpe_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b", 5, 6, 7), (2, None, 8, 9, 10)], "doc_id int, text string, words int, data int, `to` int")
+    got = bpe.encode(rows, VOCABULARY, ("doc_id", "words", "data", "to", "text"))
+    assert got.columns == ["doc_id", "words", "data", "to", "text", "ids"]
+    assert sorted((r["doc_id"], r["words"], r["data"], r["to"], r["text"], len(r["ids"])) for r in got.collect()) == [(1, 5, 6, 7, "a b", 2), (2, 8, 9, 10, None, 0)]
 
 
 # 8 substrings
@@ -301,6 +388,17 @@ def test_substrings_odd_rows(odd, spark):
     assert sorted((r["doc_id"], r["text"], r["cut_words"]) for r in substrings.remove_repeats(twice).collect()) == [(1, LONG, 0), (2, "x\ny", 30_000), (2, "x\ny", 30_000)]
 
 
+def test_unlike_texts_under_one_id_are_cut_each_for_itself(spark, monkeypatch):
+    p, tail, other = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 80), ("t", 10), ("o", 120)))
+    rows = [(1, p, 0, 0, 0), (2, p + " " + tail, 0, 0, 0), (2, other, 0, 0, 0), (3, "x " + other, 0, 0, 0), (None, p, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc int, `mark` int, spans int")
+    for lot in (substrings.LOT, 1):
+        monkeypatch.setattr(substrings, "LOT", lot)
+        got = substrings.remove_repeats(docs)
+        assert got.columns == [*docs.columns, "cut_words"]
+        assert sorted((r["doc_id"] or 0, r["text"], r["cut_words"]) for r in got.collect()) == [(0, p, 0), (1, p, 0), (2, other, 0), (2, tail, 80), (3, "x ", 120)]
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_automaton_knows_every_substring(seed):
     rng = random.Random(seed)
