@@ -4,8 +4,9 @@ Spark splits the texts into words by the tokenizer's pattern.  Documents are tak
 distinct words go to the places that their hashes tell, where the table of distinct words is made place
 by place and each word is encoded once, and the ids come back to the block, where every document gets
 them by the positions of its words.  A word is sent once for each block, so that a common one weighs no
-more than others; the plan is the same for all sizes.  Decoding looks ids up in a broadcast table of the
-pieces of the vocabulary, whose number is fixed by the tokenizer, and puts the pieces of a document together.
+more than others; the plan is the same for all sizes.  Decoding looks each id up in the table of the
+pieces of the vocabulary, whose number is fixed by the tokenizer, without leaving the JVM: what a join by
+id with a broadcast table gives, but for the rows of one id each and the exchange that put them together again.
 
 Defined results: null and empty texts have no ids, and no ids decode to the empty text; ids outside
 the vocabulary, and null ones, decode to nothing; bytes that are no UTF-8 decode to U+FFFD; repeated
@@ -234,34 +235,16 @@ def encode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",)
 
 
 def decode(encoded: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
-    """The columns ``keep`` of encoded and text, put together from the pieces of ids."""
-    bounded_batches(encoded.sparkSession)
+    """The columns ``keep`` of encoded and text, put together from the pieces of ids.
+
+    The table of pieces is one constant of the plan, of a size that the vocabulary fixes; each id looks its piece up there.
+    """
     ranks = load_ranks(vocabulary)
-    pieces = [b""] * (max(ranks.values()) + 2)
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, i in ranks.items():
         pieces[i] = piece
-    table = encoded.sparkSession.sparkContext.broadcast(pieces)
     keep = [c for c in keep if c != "text"]
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = np.array([len(x) for x in table.value], np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        blob = np.frombuffer(b"".join(table.value), np.uint8)
-        none = len(size) - 1
-        for big in batches:
-            at = big.schema.get_field_index("__ids")
-            for b in _slices(big, at):
-                col = b.column(at)
-                flat = col.flatten()
-                ids = flat.fill_null(none).to_numpy().astype(np.int64)
-                ids = np.where((ids < 0) | (ids > none), none, ids)
-                n = size[ids]
-                end = np.concatenate([[0], np.cumsum(n)])
-                out = blob[np.repeat(begin[ids] - end[:-1], n) + np.arange(end[-1])].tobytes()
-                row = np.asarray(col.offsets).astype(np.int64)
-                cut = end[row - row[0]]
-                text = [out[a:z].decode("utf-8", "replace") for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(text, pa.string())], [*keep, "text"])
-
-    kind = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return encoded.select(*keep, F.coalesce("ids", F.array().cast("array<int>")).alias("__ids")).mapInArrow(part, f"{kind}, text string")
+    # a byte stands as the character of its number; folded to an array once, when the plan is made
+    table = F.split(F.lit("\u0100".join(x.decode("latin-1") for x in pieces)), "\u0100")
+    joined = F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.get(table, i)), "")
+    return encoded.select(*keep, F.make_valid_utf8(F.encode(joined, "ISO-8859-1").cast("string")).alias("text"))
