@@ -69,6 +69,19 @@ def _numbers(data: bytes, n: int, at: int = 0) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def _packed(data: bytes) -> bytes:
+    """The length and the data, compressed: exchanges are compressed too, but without coding by frequency."""
+    return np.uint32(len(data)).tobytes() + _ZSTD.compress(data, asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    size = int(np.frombuffer(data, np.uint32, 1)[0])
+    return _ZSTD.decompress(data[4:], size, asbytes=True) if size else b""
+
+
 def _bundle(numbers: np.ndarray, sizes: np.ndarray, body: bytes) -> bytes:
     """Things with rising numbers: how many there are, numbers, sizes, and all of them in a row."""
     return np.uint32(len(numbers)).tobytes() + _planes(np.diff(numbers, prepend=0)) + _planes(sizes) + body
@@ -117,7 +130,7 @@ def _blocks(split: DataFrame, sizes: Places) -> DataFrame:
         for b in held:
             ends = np.asarray(b.column(1).offsets).astype(np.int64)
             ends = ends - ends[0] + begin
-            rows = [_planes(at[a:z]) for a, z in zip(ends[:-1], ends[1:])]
+            rows = [_packed(_planes(at[a:z])) for a, z in zip(ends[:-1], ends[1:])]
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, DOC, np.int32)), b.column(0), pa.array(rows, pa.binary())], names)
             begin = int(ends[-1])
@@ -129,7 +142,7 @@ def _blocks(split: DataFrame, sizes: Places) -> DataFrame:
             mine = by[cut[p] : cut[p + 1]]
             if len(mine):
                 body = b"".join([blob[a:z] for a, z in zip(off[mine].tolist(), off[mine + 1].tolist())])
-                out.append((-1 - p, np.int64(block).tobytes() + _bundle(mine, off[mine + 1] - off[mine], body)))
+                out.append((-1 - p, np.int64(block).tobytes() + _packed(_bundle(mine, off[mine + 1] - off[mine], body))))
         if out:
             to, rows = zip(*out)
             n = len(out)
@@ -168,7 +181,7 @@ def _word_table(sent: DataFrame, ranks: Broadcast) -> DataFrame:
                     now, table = to[i], {}
                 data = b.column(3)[i].as_py()
                 block = int(np.frombuffer(data, np.int64, 1)[0])
-                numbers, sizes, body = _unbundled(data[8:])
+                numbers, sizes, body = _unbundled(_unpacked(data[8:]))
                 ends = np.cumsum(sizes)
                 ids = []
                 for a, z in zip((ends - sizes).tolist(), ends.tolist()):
@@ -177,7 +190,7 @@ def _word_table(sent: DataFrame, ranks: Broadcast) -> DataFrame:
                     if x is None:
                         x = table[w] = np.array(encode(w.decode()), kind).tobytes()
                     ids.append(x)
-                out.append((block, _bundle(numbers, np.array([len(x) // size for x in ids]), b"".join(ids))))
+                out.append((block, _packed(_bundle(numbers, np.array([len(x) // size for x in ids]), b"".join(ids)))))
             if out:
                 blocks, rows = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(np.full(len(out), IDS, np.int32)), pa.array(rows, pa.binary())], ["to", "kind", "data"])
@@ -204,7 +217,7 @@ def encode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",)
 
     def placed(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.filter(pa.array(left.column("kind").to_numpy() == DOC)).combine_chunks()
-        got = [_unbundled(x) for x in right.column("data").to_pylist()]
+        got = [_unbundled(_unpacked(x)) for x in right.column("data").to_pylist()]
         n = 1 + max((int(x[0][-1]) for x in got), default=-1)
         many, spot = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         ids = np.frombuffer(b"".join(x[2] for x in got), kind)
@@ -214,7 +227,7 @@ def encode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",)
             many[numbers] = size
             begin += int(size.sum())
         off, out = [0], [np.zeros(0, np.int32)]
-        for data in left.column("data").to_pylist():
+        for data in map(_unpacked, left.column("data").to_pylist()):
             at = _numbers(data, len(data) // 4)
             if len(at) and (at.max() >= n or many[at].min() < 0):
                 raise ValueError("the words of a block are not those that were sent; its input was not the same twice")
