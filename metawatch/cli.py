@@ -8,13 +8,15 @@ import sys
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from .functions.render import visible
 from .functions.vocab import SEVERITY
 from .operators import findings as op
 from .operators import state
 from .plans import audit, report
 from .sources import config as cfg
-from .sources import ingest, live
+from .sources import live, transports
 
 
 def _seconds(text: str) -> float:
@@ -62,19 +64,19 @@ def checked(args: argparse.Namespace) -> str | None:
 
 
 def main(argv: list[str], spark: SparkSession, fetch: live.Fetcher | None = None, say: Callable[[str], None] = print, warn: Callable[[str], None] | None = None) -> int:
-    """Run with these arguments; fetch: asks live servers, without it they cannot be scanned."""
+    """Run with these arguments; fetch: asks live servers in place of the fetchers of this package."""
     warn = warn or (lambda x: print(x, file=sys.stderr))
     args = parser().parse_args(argv)
     try:
         if wrong := checked(args):
             raise ValueError(wrong)
-        return _run(args, spark, fetch, say, warn)
+        return _run(args, spark, fetch or transports.fetch, say, warn)
     except (ValueError, OSError) as e:
         warn(f"{report.NAME}: {e}")
         return 2
 
 
-def _scan(args: argparse.Namespace, spark: SparkSession, fetch: live.Fetcher | None):
+def _scan(args: argparse.Namespace, spark: SparkSession, fetch: live.Fetcher, warn: Callable[[str], None]):
     status = None
     if args.path or args.manifest:
         paths = args.manifest or [args.path]
@@ -84,8 +86,6 @@ def _scan(args: argparse.Namespace, spark: SparkSession, fetch: live.Fetcher | N
         if bad := scan.errors.orderBy("source_ord").first():
             raise ValueError(f"{paths[bad['source_ord']]}: {bad['error']}")
         return scan, status
-    if fetch is None:
-        raise ValueError("no fetcher for live servers is installed")
     if args.config:
         servers = cfg.select(cfg.load_config(args.config), args.server)
     elif args.stdio is not None:
@@ -94,12 +94,17 @@ def _scan(args: argparse.Namespace, spark: SparkSession, fetch: live.Fetcher | N
         url = args.http or args.sse
         live.check_url(url)
         servers = [cfg.Server("", "http" if args.http else "sse", url=url, headers=live.parse_headers(args.header))]
+    for s in servers:
+        if s.url and s.headers and not s.disabled and live.cleartext(s.url):
+            warn(f"{report.NAME}: warning: {len(s.headers)} header(s) go to {visible(live.origin(s.url)[1])} in the clear; https would hide them")
     entities, status = live.read_live(spark, servers, fetch, args.timeout or 20.0)
+    if not args.config:
+        entities = entities.withColumn("source", F.lit(None).cast("string"))
     return audit.of_entities(entities), status
 
 
-def _run(args: argparse.Namespace, spark: SparkSession, fetch: live.Fetcher | None, say: Callable[[str], None], warn: Callable[[str], None]) -> int:
-    scan, status_df = _scan(args, spark, fetch)
+def _run(args: argparse.Namespace, spark: SparkSession, fetch: live.Fetcher, say: Callable[[str], None], warn: Callable[[str], None]) -> int:
+    scan, status_df = _scan(args, spark, fetch, warn)
     scan.findings = scan.findings.persist()
     status = status_df.orderBy("source_ord").collect() if status_df is not None else []
     failed = any(s["status"] == "failed" for s in status)
@@ -116,9 +121,10 @@ def _run(args: argparse.Namespace, spark: SparkSession, fetch: live.Fetcher | No
     findings, stale, drifts, unchecked, accepted = scan.findings, [], [], [], 0
     sources = scan.entities.select("source").distinct() if status_df is None else status_df.filter("status = 'scanned'").select(status_df["name"].alias("source"))
     if args.pin:
-        kept, left = state.scope(report.load_pin(spark, open(args.pin, encoding="utf-8").read()), sources)
-        drifts = state.drift(kept, scan.pins()).orderBy("source", "kind", "label", "occ").collect()
-        unchecked = sorted(r["source"] or "" for r in left.collect())
+        named = bool(args.config) or len(args.manifest) > 1
+        kept, left = state.scope(report.load_pin(spark, open(args.pin, encoding="utf-8").read()), sources if named else None)
+        drifts = state.drift(kept, scan.pins()).orderBy(*state.state_order()).collect()
+        unchecked = sorted(state.UNNAMED if r["source"] is None else r["source"] for r in left.collect())
     if args.baseline:
         known = report.load_baseline(spark, open(args.baseline, encoding="utf-8").read())
         stale = state.stale(known, findings, sources).orderBy("file_ord").collect()

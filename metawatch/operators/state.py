@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.render import visible
+from ..functions.vocab import KINDS
+
+UNNAMED = "(no server recorded)"
+
+
+class ScopeError(ValueError):
+    """A pin that cannot be held against this scan."""
+
 
 def suppress(findings: DataFrame, accepted: DataFrame) -> DataFrame:
     """Findings that are not accepted."""
@@ -42,9 +51,40 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.filter((F.col("change") != "changed") | (F.size("paths") > 0))
 
 
-def scope(pinned: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pins of scanned sources, sources that were pinned and not scanned)."""
+def state_order() -> list[Column]:
+    """The order of pins and drifts: by source, kind as in reports with unknown ones last, label and occurrence."""
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return [F.coalesce("source", F.lit("")).asc(), F.when(place > 0, place).otherwise(len(KINDS) + 1).asc(), F.when(place > 0, "").otherwise(F.col("kind")).asc(), F.asc("label"), F.asc("occ")]
+
+
+def scope(pinned: DataFrame, scanned: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(pins to compare, sources that were pinned and not scanned).
+
+    scanned: the named sources of the scan, None for a scan of one source without a name, which any pin of one
+    source fits.  A pin that names no source at all is taken over by the one source of the scan.  Raises where the
+    pin cannot be lined up: several sources in it and none named here, none named in it and not one here, or
+    none in common.  Only names of sources come to the driver, two at most but for a message.
+    """
+    names = pinned.select("source").distinct()
+    first = [r["source"] for r in names.limit(2).collect()]
+    if not first:
+        return pinned, names
+    if scanned is None:
+        if len(first) > 1:
+            raise ScopeError(f"the pin is one of several servers, {_listed(names)}; hold it against their --config, with --server for one of them")
+        return pinned.withColumn("source", F.lit(None).cast("string")), names.limit(0)
     known = scanned.select(F.col("source").alias("__s")).distinct()
-    kept = pinned.join(known, F.col("source").eqNullSafe(F.col("__s")), "left_semi")
-    left = pinned.join(known, F.col("source").eqNullSafe(F.col("__s")), "left_anti").select("source").distinct()
+    if first == [None]:
+        one = [r["__s"] for r in known.limit(2).collect()]
+        if len(one) != 1:
+            raise ScopeError("the pin names no server and this scan is not one of one server; --server says whose it is, --write-pin makes one of all")
+        return pinned.withColumn("source", F.lit(one[0])), names.limit(0)
+    kept = pinned.join(known, F.col("source") == F.col("__s"), "left_semi")
+    left = names.join(known, F.col("source") == F.col("__s"), "left_anti")
+    if not kept.take(1):
+        raise ScopeError(f"no server of the pin is in this scan; it has {_listed(names)}")
     return kept, left
+
+
+def _listed(names: DataFrame) -> str:
+    return ", ".join(sorted(visible(UNNAMED if r["source"] is None else r["source"]) for r in names.collect()))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.render import visible
 from ..functions.vocab import KINDS
+from ..operators import state
 
 NAME = "metawatch"
 BANDS = tuple("CLEAN LOW MEDIUM HIGH".split())
@@ -80,7 +81,7 @@ def to_json(
         return {"name": r["label"], "score": r["score"], "band": r["band"], "findings": hits} | ({} if r["source"] is None else {"source": r["source"]})
 
     lists = {f"{k}s": [entity(r) for r in rows if r["kind"] == k] for k in KINDS}
-    state = {
+    more = {
         "staleBaseline": [baseline_entry(s) for s in stale],
         "pinDrift": [drift_entry(d) for d in drifts],
         "pinUnchecked": unchecked,
@@ -88,8 +89,8 @@ def to_json(
     }
     totals = {k: len(x) for k, x in lists.items()}
     totals |= {"flagged": sum(bool(r["findings"]) for r in rows), "findings": sum(len(r["findings"]) for r in rows), "baselined": baselined}
-    totals |= {k: len(x) for k, x in state.items()} | {"sourcesScanned": sum(s["status"] == "scanned" for s in status)}
-    return {**lists, **state, "summary": totals}
+    totals |= {k: len(x) for k, x in more.items()} | {"sourcesScanned": sum(s["status"] == "scanned" for s in status)}
+    return {**lists, **more, "summary": totals}
 
 
 _LEVEL = dict(zip("high medium low".split(), "error warning note".split()))
@@ -162,16 +163,16 @@ def baseline_entry(r: Row) -> dict[str, Any]:
 
 
 def build_baseline(findings: DataFrame) -> dict[str, Any]:
-    """The accepted-findings file of a scan, one entry for each fingerprint."""
+    """The accepted-findings file of a scan, one entry for each fingerprint: that of the first finding in listing order."""
     order = [F.coalesce("source", F.lit("")), "kind", "label", "rule", "path", "fingerprint"]
-    rows = findings.dropDuplicates(["fingerprint"]).orderBy(*order).collect()
+    shown = ["kind", "label", "rule", "path", "excerpt", "source"]
+    rows = findings.groupBy("fingerprint").agg(F.min_by(F.struct(*shown), F.struct("ord", "leaf_ord", "off", "hit_ord")).alias("f")).select("fingerprint", "f.*").orderBy(*order).collect()
     return {"version": 1, "findings": [baseline_entry(r) for r in rows]}
 
 
 def build_pin(pins: DataFrame) -> dict[str, Any]:
     """The digest file of a scan."""
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(99))
-    rows = pins.orderBy(F.coalesce("source", F.lit("")), rank, "kind", "label", "occ").collect()
+    rows = pins.orderBy(*state.state_order()).collect()
     return {"version": 1, "entities": [{"kind": r["kind"], "name": r["label"], "fields": dict(sorted(r["fields"].items()))} | ({} if r["source"] is None else {"source": r["source"]}) for r in rows]}
 
 

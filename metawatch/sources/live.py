@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.vocab import KINDS
 from .config import Server
 from .ingest import Groups, entity_label, route_name
+from .store import once
 
 Fetcher = Callable[[Server, float], Groups]
 
@@ -27,12 +28,23 @@ SCHEMA = "source string, source_ord int, transport string, status string, error
 _PORTS = {"http": 80, "https": 443}
 
 
+class LiveError(RuntimeError):
+    """Why a server was not read, in words for the report."""
+
+
 def origin(url: str) -> tuple[str, str, int | None]:
     parts = urlsplit(url)
     scheme = parts.scheme.lower()
     return scheme, (parts.hostname or "").lower(), parts.port or _PORTS.get(scheme)
 
 
+def shown_origin(url: str) -> str:
+    """scheme://host, with the port where it is not the scheme's own."""
+    scheme, host, port = origin(url)
+    host = f"[{host}]" if ":" in host else host
+    return f"{scheme}://{host}" + (f":{port}" if port not in (None, _PORTS.get(scheme)) else "")
+
+
 def stays_on_origin(start: str, then: str) -> bool:
     """Whether credentials may go along: the same origin, or its plain port 80 raised to https on 443."""
     a, b = origin(start), origin(then)
@@ -82,10 +94,11 @@ def redact(text: str, secrets: list[str]) -> str:
     return text
 
 
-def http_reason(status: int) -> str:
+def http_reason(status: int, hint: str = "/mcp") -> str:
+    """What a status says; never with anything of the request."""
     if status in (401, 403):
-        return f"HTTP {status}: the server wants other credentials"
-    return "HTTP 404: nothing there; is the path right?" if status == 404 else f"HTTP {status}"
+        return f"HTTP {status}: the server wants other credentials, which --header or the config gives"
+    return f"HTTP 404: nothing there; is the path right? Many end in {hint}" if status == 404 else f"HTTP {status}"
 
 
 def collect(session: Any, protocol_error: type[Exception] | tuple[type[Exception], ...] = ()) -> Groups:
@@ -122,7 +135,7 @@ def fetched(server: Server, ord_: int, fetch: Fetcher, timeout: float) -> list[t
     except Late:
         return [(server.name, ord_, server.transport, "failed", f"no answer within {timeout:g} s", *empty)]
     except Exception as e:
-        said = redact(f"{type(e).__name__}: {e}", [*server.env.values(), *server.headers.values(), *server.args])
+        said = redact(str(e) if isinstance(e, LiveError) else f"{type(e).__name__}: {e}", [*server.env.values(), *server.headers.values(), *server.args])
         return [(server.name, ord_, server.transport, "failed", said, *empty)]
     finally:
         pool.shutdown(wait=False, cancel_futures=True)
@@ -158,8 +171,8 @@ def live_source(servers: list[Server], fetch: Fetcher, timeout: float = 20.0) ->
 
 
 def read_live(spark: SparkSession, servers: list[Server], fetch: Fetcher, timeout: float = 20.0) -> tuple[DataFrame, DataFrame]:
-    """(entities, source_status) of live servers."""
+    """(entities, source_status) of live servers, each asked once: what they say is written before anything is made of it."""
     spark.dataSource.register(live_source(servers, fetch, timeout))
-    rows = spark.read.format("live_servers").load()
+    rows = once(spark.read.format("live_servers").load(), "live")
     status = rows.select("source", "source_ord", "transport", "status", "error").distinct().withColumnRenamed("source", "name")
     return rows.filter("kind is not null").drop("transport", "status", "error"), status
