@@ -20,7 +20,7 @@ _WIDE = _ORDER.translate({i: i + 0xFEE0 for i in range(0x21, 0x7F)})
 _B64 = base64.b64encode(_ORDER.encode()).decode()
 
 CASES: dict[str, list[str]] = {
-    "invisible-characters": [f"zero<<{chr(0x200B)}>>width", f"turn<<{chr(0x202E)}>>ed", f"tag<<{chr(0xE0041)}>>", "plain words only", f"soft<<{chr(0xAD)}>>hyphen"],
+    "invisible-characters": [f"zero<<{chr(0x200B)}>>width", f"turn<<{chr(0x202E)}>>ed", f"tag<<{chr(0xE0041)}>>", "plain words only", f"soft<<{chr(0xAD)}>>hyphen", f"filled<<{chr(0x3164)}>>in", f"mark<<{chr(0x61C)}>>ed"],
     "confusable-characters": [f"open <<p{chr(0x430)}yments>> now", f"the H{chr(0x3B1)} line", f"pay <<v{chr(0x456)}{chr(0x441)}a>> here", "only latin words here"],
     "compatibility-characters": [f"note: <<{_WIDE}>>", "note: " + "plain wide".translate({i: i + 0xFEE0 for i in range(0x21, 0x7F)}), f"see trade {chr(0x2122)} mark"],
     "base64-payload": [f"decode <<{_B64}>> first", "id Zm9vYmFyYmF6cXV4MTIzNDU2 here", f"unpadded <<{_B64.rstrip('=')}>> too"],

@@ -49,7 +49,7 @@ def test_digests_keep_lone_surrogates_apart(spark):
 def test_collisions_across_sources(spark):
     a = audit.of_documents(docs(spark, '[{"name": "x"}, {"name": "x"}]', '[{"name": "x"}]', '{"prompts": [{"name": "x"}]}'))
     said = sorted(r["message"] for r in a.findings.collect())
-    assert len(said) == 3 and said[0].startswith("a second tool") and "server 's1'" in said[0] and said[2].startswith("server 's0' also exposes")
+    assert len(said) == 3 and said[0].startswith("its listing has the tool more than once") and "server 's1'" in said[0] and said[2].startswith("server 's0' has a tool")
 
 
 def test_baseline_round_trip(spark):
