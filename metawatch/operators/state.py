@@ -34,8 +34,12 @@ def stale(accepted: DataFrame, findings: DataFrame, scanned: DataFrame | None =
 
 
 def pins(leaves: DataFrame) -> DataFrame:
-    """(source, kind, label, occ, fields): of each entity its digests by slot; occ numbers those of one label in listing order."""
-    one = leaves.groupBy("source", "kind", "ord", "label").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.sha2("raw", 256)))).alias("fields"))
+    """(source, kind, label, occ, fields): of each entity its digests by slot; occ numbers those of one label in listing order.
+
+    leaves: with raw, or with digest.
+    """
+    digest = F.col("digest") if "digest" in leaves.columns else F.sha2("raw", 256)
+    one = leaves.groupBy("source", "kind", "ord", "label").agg(F.map_from_entries(F.collect_list(F.struct("slot", digest))).alias("fields"))
     return one.withColumn("occ", F.row_number().over(Window.partitionBy("source", "kind", "label").orderBy("ord"))).drop("ord")
 
 
