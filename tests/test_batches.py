@@ -47,3 +47,19 @@ def test_fused_scan_is_the_scan_of_the_leaves(spark):
     one, two = op.hits_of(e), op.detect(op.leaves(e))
     assert one.schema == two.schema and sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() == 6
     assert sorted(map(str, audit.of_entities(e).findings.collect())) == sorted(map(str, audit.of_entities(e, True).findings.collect()))
+
+
+def test_digests_are_those_of_the_leaves(spark):
+    from metawatch.operators import findings as op
+    from metawatch.operators import state
+
+    payloads = ['{"name":"a","x":"\\ud800","l":["","b"]}', None, "{}", '{"a.b":"c","a":{"b":"d"}}']
+    e = spark.createDataFrame([("s", "tool", i, "n", p) for i, p in enumerate(payloads)], "source string, kind string, ord int, label string, payload string")
+    one, two = state.pins(op.digests(e)), state.pins(op.leaves(e))
+    assert one.schema == two.schema and sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() == 2
+
+
+@pytest.mark.parametrize("name", ["pin_drift", "pin_digest", "pin_adopted"])
+def test_pins_take_no_text_out_of_python(spark, name):
+    plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and " raw#" not in plan and "text#" not in plan.split("MapInArrow")[0]
