@@ -75,7 +75,7 @@ def test_a_rule_is_run_alone(monkeypatch):
     assert alone == [h[0] for h in op.text_hits(text)] == ["data-exfiltration"]
 
 
-@pytest.mark.parametrize("name", ["rule_data_exfiltration"])
+@pytest.mark.parametrize("name", ["rule_data_exfiltration", "rule_hidden_instructions"])
 def test_rule_queries_match_no_alternations_in_the_jvm(spark, name):
     plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "RLIKE" not in plan
