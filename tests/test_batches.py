@@ -79,3 +79,13 @@ def test_a_rule_is_run_alone(monkeypatch):
 def test_rule_queries_match_no_alternations_in_the_jvm(spark, name):
     plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "RLIKE" not in plan
+
+
+@pytest.mark.parametrize("name", ["baseline_stale"])
+def test_baselines_scan_in_the_one_pass(spark, name, monkeypatch):
+    def no(*_):
+        raise AssertionError("leaves go out of Python and in again")
+
+    for step in ("detect", "may_hit"):
+        monkeypatch.setattr(queries.op, step, no)
+    assert queries.QUERIES[name](spark, SMALL).count()
