@@ -7,7 +7,7 @@ from conftest import SMALL
 from metawatch.plans import queries
 
 #: Queries that scan what entities say, or digest it.
-AUDITS = ["finding_places", "entity_scores", "kind_summary", "riskiest"]
+AUDITS = ["finding_places", "entity_scores", "kind_summary", "riskiest", "all_findings"]
 
 
 @pytest.mark.parametrize("name", AUDITS)
