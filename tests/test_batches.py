@@ -81,7 +81,7 @@ def test_rule_queries_match_no_alternations_in_the_jvm(spark, name):
     assert "ArrowEvalPython" in plan and "RLIKE" not in plan
 
 
-@pytest.mark.parametrize("name", ["baseline_stale"])
+@pytest.mark.parametrize("name", ["baseline_stale", "baseline_suppress"])
 def test_baselines_scan_in_the_one_pass(spark, name, monkeypatch):
     def no(*_):
         raise AssertionError("leaves go out of Python and in again")
